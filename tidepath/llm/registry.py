@@ -15,6 +15,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -40,12 +46,20 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_warc": op4_warc,
     "op5_url_filters": op5_url_filters,
     "op9_license_scan": op9_license_scan,
+    "op10_minhash_near_dup": op10_minhash_near_dup,
 }
 
 _W = r"[\x20\x09-\x0D]+"
