@@ -40,6 +40,18 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(sample_times(pages), sample_entries(pages))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -58,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_warc": op4_warc,
     "op5_url_filters": op5_url_filters,
+    "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dup": op10_minhash_near_dup,
 }
