@@ -138,3 +138,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
     same = rows["doc_id"].eqNullSafe(near["doc_id"]) & (rows["text_hash"] == near["text_hash"])
     pairs = rows.join(near, same).select("text", rows["doc_id"], "item_row", "shifts").join(items, "item_row")
     return pairs.select("text", "item_text", "doc_id", "item_id", "shifts").mapInArrow(_verify(least_words, least_share), FOUND)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that overlap with a benchmark item."""
+    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

@@ -33,16 +33,16 @@ def normalised(text: Column) -> Column:
 
 
 def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None) -> DataFrame:
-    """One row per input row: row_id, doc_id, n_points, text_sha256, recipe (ordered verified chunk identifiers).
+    """One row per input row: row_id, doc_id, text_hash, n_points, text_sha256, recipe (ordered verified chunk identifiers).
 
     A null or white-space-only text has the empty recipe. Other columns are ignored, whatever their names.
     """
     pattern = pattern or chunk_pattern()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), normalised(F.col("text")).alias("norm")
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("text_hash"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), normalised(F.col("text")).alias("norm")
     )
     cut = base.select(
-        "row_id", "doc_id", "n_points", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
+        "row_id", "doc_id", "text_hash", "n_points", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         F.transform(F.regexp_extract_all("norm", F.lit(pattern), F.lit(0)), lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c.cast("binary"), 256)).alias("sha"))).alias("chunks"),
     )
     cut = stage(cut, "chunks")
@@ -55,11 +55,11 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("row_id", F.transform("r", lambda x: F.struct(x["h"].alias("h"), x["rank"].alias("rank"))).alias("recipe"))
     )
     empty = F.array().cast("array<struct<h:bigint,rank:int>>")
-    return cut.select("row_id", "doc_id", "n_points", "text_sha256").join(recipes, "row_id", "left").withColumn("recipe", F.coalesce("recipe", empty))
+    return cut.select("row_id", "doc_id", "text_hash", "n_points", "text_sha256").join(recipes, "row_id", "left").withColumn("recipe", F.coalesce("recipe", empty))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, n_chunks: one row per input row, dropped ones too.
+    """doc_id, keep_id, group_size, kept, text_sha256, n_chunks, text_hash (of the original text): one row per input row, dropped ones too.
 
     Of rows with equal normalised texts the one with most code points in the original text stays, then the
     smallest doc_id (null first), then the first of repeated rows; so exactly one row of each group is kept,
@@ -69,5 +69,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recipes = stage(chunk_recipes(docs, id_col, text_col, pattern), "recipes")
     groups = recipes.groupBy("recipe").agg(F.min(F.struct((-F.col("n_points")).alias("n"), "doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return recipes.join(groups, "recipe").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks")
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"), "text_hash"
     )
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, one of each group of equal texts, with all their columns."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    found = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
+    return found.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

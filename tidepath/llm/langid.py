@@ -230,31 +230,67 @@ _PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+def _label(crf: Crf, data: np.ndarray, offs: np.ndarray, lo: int, hi: int, has_letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of rows lo to hi."""
+    langs, best = np.full(hi - lo, UNDETERMINED, dtype=object), np.zeros(hi - lo)
+    words = words_of(data, offs, lo, hi)
+    if not crf.labels or not len(words.starts):
+        return langs, best
+    probs = posteriors(emissions(crf, words, words.hashes(lower=True)), words.first, crf.transitions)
+    at = np.cumsum(_LETTER[words.data])
+    spelled = at[words.ends - 1] - at[words.starts] + _LETTER[words.data[words.starts]] > 0
+    rows = words.rows[spelled]
+    total = np.stack([np.bincount(rows, probs[spelled, k], hi - lo) for k in range(len(crf.labels))], axis=1)
+    number = np.bincount(rows, minlength=hi - lo)
+    has = has_letters & (number > 0)
+    langs[has] = np.array(crf.labels, dtype=object)[total.argmax(axis=1)[has]]
+    best[has] = np.clip(total.max(axis=1)[has] / number[has], 0, 1)
+    return langs, best
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf: Crf = model.value
         for batch in batches:  # doc_id, held_out, has_letters, text
             data, offs = raw_column(batch.column(3))
+            has = np.array(batch.column(2).to_pylist(), dtype=bool)
             for lo, hi in split_rows(offs):
-                part = batch.slice(lo, hi - lo)
-                langs, best = np.full(hi - lo, UNDETERMINED, dtype=object), np.zeros(hi - lo)
-                words = words_of(data, offs, lo, hi)
-                if crf.labels and len(words.starts):
-                    probs = posteriors(emissions(crf, words, words.hashes(lower=True)), words.first, crf.transitions)
-                    at = np.cumsum(_LETTER[words.data])
-                    spelled = at[words.ends - 1] - at[words.starts] + _LETTER[words.data[words.starts]] > 0
-                    rows = words.rows[spelled]
-                    total = np.stack([np.bincount(rows, probs[spelled, k], hi - lo) for k in range(len(crf.labels))], axis=1)
-                    number = np.bincount(rows, minlength=hi - lo)
-                    has = np.array(part.column(2).to_pylist(), dtype=bool) & (number > 0)
-                    top = total.argmax(axis=1)
-                    langs[has] = np.array(crf.labels, dtype=object)[top[has]]
-                    best[has] = np.clip(total.max(axis=1)[has] / number[has], 0, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(best)], schema=_PREDICTED)
+                langs, best = _label(model.value, data, offs, lo, hi, has[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(best)], schema=_PREDICTED)
 
     return run
 
 
+def _keep(model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # the columns of docs, has_letters, text
+            names = batch.schema.names[:-2]
+            data, offs = raw_column(batch.column(batch.num_columns - 1))
+            has = np.array(batch.column(batch.num_columns - 2).to_pylist(), dtype=bool)
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for lo, hi in split_rows(offs):
+                langs, best = _label(model.value, data, offs, lo, hi, has[lo:hi])
+                good[lo:hi] = (langs != UNDETERMINED) & (best >= least)
+            yield batch.select(list(range(len(names)))).filter(pa.array(good))
+
+    return run
+
+
+def _held(id_col: str) -> F.Column:
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
+    """A model of the rows that are not held out, have a language and have letters; without such rows one without labels."""
+    known = docs.filter(~_held(id_col)).filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
+    spans = training_spans(known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")), per_language)
+    return train(spans) if spans else Crf([], np.zeros((1, 0)), np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
+
+
+def _letters(text_col: str) -> F.Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify_language(docs: DataFrame, train_on: DataFrame | None = None, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row.
 
@@ -263,11 +299,12 @@ def identify_language(docs: DataFrame, train_on: DataFrame | None = None, per_la
     prediction uses the whole text and nothing else. lang_pred is a learned label, or `und` with score 0 where
     the text is null or has no letters, or where nothing could be learned. Repeated rows get equal rows.
     """
-    held = lambda: F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
-    known = (docs if train_on is None else train_on).filter(~held()).filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    spans = training_spans(known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")), per_language)
-    crf = train(spans) if spans else Crf([], np.zeros((1, 0)), np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
-    model = docs.sparkSession.sparkContext.broadcast(crf)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held().alias("held_out"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letters"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs if train_on is None else train_on, per_language, id_col, text_col, lang_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held(id_col).alias("held_out"), _letters(text_col).alias("has_letters"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(model), PREDICTED)
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.4, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language is identified with at least that score, with all their columns; null and letterless texts go. No shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, id_col, text_col, lang_col))
+    return docs.select("*", _letters(text_col).alias("_has_letters"), F.col(text_col).alias("_text")).mapInArrow(_keep(model, least_score), docs.schema)

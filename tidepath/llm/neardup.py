@@ -217,3 +217,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     slim = signed.select("doc_id", "n_shingles", "d1", "d2")
     out = slim.join(placed, ["d1", "d2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that near_duplicates does not keep: of each group the one with the smallest doc_id stays."""
+    gone = near_duplicates(docs, percent, k, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

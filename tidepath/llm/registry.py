@@ -12,7 +12,7 @@ from .common import table
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks", "text_hash")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(sample_times(pages), sample_entries(pages))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_language
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_warc": op4_warc,
     "op5_url_filters": op5_url_filters,
+    "op6_lm_score": op6_lm_score,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
