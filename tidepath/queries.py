@@ -134,7 +134,7 @@ def time_zones(spark, d):
 
 @query("SELECT event_id, ms, ms // 1000 AS sec, (ms // 1000) * 1000 AS back, 'MILLISECONDS' AS unit FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)")
 def tick_units(spark, d):
-    ms = F.unix_millis("ts")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
     ev = table(spark, d, "events").select("event_id", ms.alias("ms"))
     sec = timefn.to_engine_ticks(F.col("ms"), "MILLISECONDS", "SECONDS")
     return ev.select("event_id", "ms", sec.alias("sec"), timefn.to_engine_ticks(sec, "SECONDS", "MILLISECONDS").alias("back"), timefn.unit_of_tick(F.lit(1_000_000)).alias("unit"))
@@ -289,7 +289,7 @@ def overlay_snapshot(spark, d):
 
 @query("""SELECT event_id AS ordinal, CASE WHEN value / 100 > 1 THEN 'OVERLAY_SPEED_FACTOR' WHEN length(event_type) - 5 <= 0 THEN 'OVERLAY_INTERVAL' END AS reason_code, epoch_us(ts) // 1000 + (length(event_type) - 5) * 60000 AS valid_until FROM events""")
 def overlay_checked(spark, d):
-    ms = F.unix_millis("ts")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
     end = overlay.relative_update(ms, (F.length("event_type") - 5).cast("long") * 60, "SECONDS", "MILLISECONDS")
     rows = table(spark, d, "events").select(F.lit(0).alias("edge_idx"), (F.col("value") / 100).cast("float").alias("speed_factor"), ms.alias("valid_from"), end.alias("valid_until"), F.col("event_id").alias("ordinal"))
     return overlay.checked(rows).select("ordinal", "reason_code", "valid_until")
