@@ -5,7 +5,8 @@ from others by optimal densification. Bins in bands give bucket keys. Documents
 one class, and only one of them goes on. In a bucket of n classes a hub gets n - 1 edges; edges are confirmed
 on full shingle sets. Buckets whose members are still in several components get further hubs, chosen outside
 of the largest component and more of them each round, until every member outside of it has been a hub: pairs
-within a component are never looked at, and no link that shares a bucket is lost.
+within a component are never looked at, and no link that shares a bucket is lost. Before that, classes that
+have too few shingles in common with all others together to be linked with any are set aside.
 """
 
 from __future__ import annotations
@@ -146,18 +147,32 @@ def _similar(a: str, b: str, percent: int) -> F.Column:
     return sizes & ((F.least(f"{a}.n_shingles", f"{b}.n_shingles") < SKETCH_LEAST) | (agree >= SKETCH_MATCH))
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of pairs (u, v) those whose full shingle sets are similar enough. Only the texts of nodes in a pair become sets."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def fetch_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """node, shingles of the wanted nodes, staged; only their texts become sets."""
     keys = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
     rows = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))).select("node", "text")
-    sets = stage(rows.mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
+    return stage(rows.mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) those whose full shingle sets are similar enough."""
     a = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
     both = a.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv")).cast("long")
     return both.filter(common * 100 >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
 
 
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """node, n_shared: how many of a node's shingles another node has too. No similarity can rest on the others."""
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    several = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s")
+    return each.join(several, "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text", more_hubs: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -180,37 +195,42 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stage(banded.join(shared, "bucket").join(nodes.select("node", "n_shingles", "sketch"), "node"), "members")
 
-    labels = members.select("node", F.col("node").alias("component")).limit(0)
-    links = None
-    hubs_each, first = 1, True
+    by_bucket = F.col("m.bucket") == F.col("h.bucket")
+    pair = [F.greatest("m.node", "h.node").alias("u"), F.least("m.node", "h.node").alias("v")]
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles", "sketch")).alias("hub")).select("bucket", "hub.*")
+    stars = members.alias("m").join(hubs.alias("h"), by_bucket & (F.col("m.node") != F.col("h.node")) & _similar("m", "h", percent))
+    tried = stage(stars.select(*pair).distinct(), "pairs")
+    links = stage(confirm(tried, fetch_sets(_ends(tried), nodes, texts, k), percent), "links")
+    labels = stage(components(links), "labels")
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with their component, and whether they are outside of the largest."""
+        now = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        counts = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        return stage(now.join(main, "bucket").withColumn("outside", F.col("component") != -F.col("top.c")).drop("top", "parts"), "open")
+
+    # sets of what is open, and how much of each set anything else in it has: a link needs s shingles in common, s (100 + percent) >= percent (a + b)
+    now = still_open(members)
+    sets = fetch_sets(now.select("node").distinct(), nodes, texts, k)
+    enough = F.col("n_shared") * 100 >= percent * F.col("n_shingles")
+    rest = stage(now.drop("component", "outside").join(shared_counts(sets), "node").filter(enough), "rest")
+    both = (F.least("m.n_shared", "h.n_shared") * (100 + percent)) >= percent * (F.col("m.n_shingles") + F.col("h.n_shingles"))
+    hubs_each = more_hubs
     while True:
-        now = members if first else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if first:
-            hubs = now.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles", "sketch")).alias("hub")).select("bucket", "hub.*")
-            differ = F.col("m.node") != F.col("h.node")
-        else:
-            counts = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-            main = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-            now = stage(now.join(main, "bucket").withColumn("outside", F.col("component") != -F.col("top.c")).drop("top", "parts"), "open")
-            turn = Window.partitionBy("bucket").orderBy("node")
-            ordered = now.filter("outside").withColumn("turn", F.row_number().over(turn))
-            hubs = ordered.filter(F.col("turn") <= hubs_each)
-            differ = F.col("m.component") != F.col("h.component")
-            rest = ordered.filter(F.col("turn") > hubs_each).limit(1)
-        pairs = now.alias("m").join(hubs.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & differ & _similar("m", "h", percent))
-        pairs = stage(pairs.select(F.greatest("m.node", "h.node").alias("u"), F.least("m.node", "h.node").alias("v")).distinct(), "pairs")
-        if not first and links is not None:
-            pairs = stage(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = stage(confirm(pairs, nodes, texts, percent, k), "links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if first else tried.unionByName(pairs)
-        if not found.isEmpty():
+        now = still_open(rest)
+        turn = Window.partitionBy("bucket").orderBy("node")
+        ordered = now.filter("outside").withColumn("turn", F.row_number().over(turn))
+        hubs = ordered.filter(F.col("turn") <= hubs_each)
+        stars = now.alias("m").join(hubs.alias("h"), by_bucket & (F.col("m.component") != F.col("h.component")) & both & _similar("m", "h", percent))
+        pairs = stage(stars.select(*pair).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            found = stage(confirm(pairs, sets, percent), "links")
+            tried, links = tried.unionByName(pairs), links.unionByName(found)
             labels = stage(components(links), "labels")
-        if not first and rest.isEmpty():
+        if ordered.filter(F.col("turn") > hubs_each).isEmpty():
             break
-        hubs_each = hubs_each if first else hubs_each * more_hubs
-        hubs_each = max(hubs_each, more_hubs)
-        first = False
+        hubs_each *= more_hubs
     ends = nodes.join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = labels.join(ends, "component").select("node", "component_id")
     placed = classes.join(found, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep_doc").alias("component_id"))

@@ -172,7 +172,7 @@ def structural_prior(weighted: DataFrame, model: Model, fresh: Column, horizon:
     w = F.col("weight")
     one = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(w).alias("w"), F.sum(w * F.col("degree_score")).alias("d"), F.sum(w * F.col("homophily_score")).alias("h"), F.max("spread").alias("spread"))
     one = one.withColumns({"degree_score": clamp(F.col("d") / F.col("w"), 0.0, 1.0), "homophily_score": clamp(F.col("h") / F.col("w"), 0.0, 1.0)})
-    one = one.withColumn("centered", F.when("spread", clamp(2 * F.col("degree_score") - 1, -1.0, 1.0)).otherwise(F.lit(0.0)))
+    one = one.withColumn("centered", F.when(F.col("spread"), clamp(2 * F.col("degree_score") - 1, -1.0, 1.0)).otherwise(F.lit(0.0)))
     degree_tag = F.when(~F.col("spread"), "degree_prior_neutral").when(F.col("degree_score") <= 0.25, "degree_prior_low").when(F.col("degree_score") >= 0.75, "degree_prior_high").otherwise("degree_prior_neutral")
     homophily_tag = F.when(F.col("homophily_score") <= c.homophily_low, "homophily_low").when(F.col("homophily_score") >= c.homophily_high, "homophily_high").otherwise("homophily_neutral")
     return one.select("group_id", "n_edges", "degree_score", "centered", (F.col("centered") * c.degree_range * fresh * horizon).alias("adjustment"), "homophily_score", degree_tag.alias("degree_tag"), homophily_tag.alias("homophily_tag"))

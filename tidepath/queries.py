@@ -370,13 +370,13 @@ def haversine_pairs(spark, d):
     return a.crossJoin(b).select(F.col("a.node_idx").alias("source"), F.col("b.node_idx").alias("target"), F.round(geo.great_circle_m(*c), 2).alias("metres"), F.round(geo.euclidean(*c), 6).alias("planar"))
 
 
-@query(S.with_(S.NODES, f"""p AS (SELECT vec_id AS point_id, (embedding[1] * 200)::DOUBLE AS x, (embedding[2] * 400)::DOUBLE AS y FROM embeddings),
+@query(S.with_(S.NODES, f"""p AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE * 200 AS x, embedding[2]::DOUBLE * 400 AS y FROM embeddings),
 ok AS (SELECT *, abs(x) <= 90 AND abs(y) <= 180 AS ok FROM p),
 b AS (SELECT point_id, arg_min(node_idx, (d2, node_idx)) AS node_idx FROM (SELECT point_id, node_idx, (n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y) AS d2 FROM ok p, nodes n WHERE ok) GROUP BY point_id),
 m AS (SELECT ok.point_id, ok.ok, n.node_idx, {_hav('ok', 'n')} AS dist FROM ok LEFT JOIN b USING (point_id) LEFT JOIN nodes n ON n.node_idx = b.node_idx)""", body="""SELECT point_id, CASE WHEN ok AND dist <= 900000 THEN node_idx END AS node_idx, round(dist, 2) AS distance, CASE WHEN NOT ok THEN 'ADDRESS_COORDINATES_INVALID' WHEN dist > 900000 THEN 'ADDRESS_SNAP_EXCEEDED' END AS reason_code FROM m"""))
 def snap_points(spark, d):
     e = table(spark, d, "embeddings")
-    points = e.select(F.col("vec_id").alias("point_id"), (F.col("embedding")[0] * 200).cast("double").alias("x"), (F.col("embedding")[1] * 400).cast("double").alias("y"), F.lit(900_000.0).alias("max_snap"))
+    points = e.select(F.col("vec_id").alias("point_id"), (F.col("embedding")[0].cast("double") * 200).alias("x"), (F.col("embedding")[1].cast("double") * 400).alias("y"), F.lit(900_000.0).alias("max_snap"))
     out = address.snap(points, graphs.nation_nodes(spark, d), "LAT_LON", 20.0)
     return out.select("point_id", "node_idx", F.round("distance", 2).alias("distance"), "reason_code")
 
@@ -658,19 +658,19 @@ def path_overlap(spark, d):
 
 
 def _changes(m):
-    """Take out the nation with most trade, slow edges to new weights, and add a node with two edges."""
+    """Take out a nation and the heaviest edges, slow edges to new weights, and add a node with two edges."""
     spark = m.nodes.sparkSession
-    gone = m.nodes.filter("node_id = 'FRANCE'").select("node_id")
+    gone = m.nodes.filter("node_id = 'NATION_6'").select("node_id")
     heavy = m.edges.filter("base_weight >= 1900").select("edge_id")
     new = m.edges.filter("base_weight <= 100").select("edge_id", (F.col("base_weight") * 2).cast("float").alias("base_weight"), F.lit(None).cast("int").alias("profile_id"))
     node = spark.createDataFrame([("ATLANTIS", 0.0, 0.0)], "node_id string, x double, y double")
-    edge = spark.createDataFrame([("A-in", "GERMANY", "ATLANTIS", 50.0, 1, 1_000_000), ("A-out", "ATLANTIS", "BRAZIL", 60.0, 2, 1_000_001)], "edge_id string, origin_id string, dest_id string, base_weight float, profile_id int, ordinal int")
+    edge = spark.createDataFrame([("A-in", "NATION_7", "ATLANTIS", 50.0, 1, 1_000_000), ("A-out", "ATLANTIS", "NATION_2", 60.0, 2, 1_000_001)], "edge_id string, origin_id string, dest_id string, base_weight float, profile_id int, ordinal int")
     return topology.ChangeSet(remove_nodes=gone, remove_edges=heavy, change_edges=new, add_nodes=node, add_edges=edge)
 
 
 _CHANGED = """named AS (SELECT e.*, a.node_id AS origin_id, b.node_id AS dest_id FROM edges e JOIN nodes a ON a.node_idx = origin JOIN nodes b ON b.node_idx = dest),
-kept AS (SELECT edge_id, origin_id, dest_id, CASE WHEN base_weight <= 100 THEN base_weight * 2 ELSE base_weight END::DOUBLE AS base_weight, profile_id FROM named WHERE origin_id <> 'FRANCE' AND dest_id <> 'FRANCE' AND base_weight < 1900),
-changed AS (SELECT * FROM kept UNION ALL SELECT 'A-in', 'GERMANY', 'ATLANTIS', 50, 1 UNION ALL SELECT 'A-out', 'ATLANTIS', 'BRAZIL', 60, 2)"""
+kept AS (SELECT edge_id, origin_id, dest_id, CASE WHEN base_weight <= 100 THEN base_weight * 2 ELSE base_weight END::DOUBLE AS base_weight, profile_id FROM named WHERE origin_id <> 'NATION_6' AND dest_id <> 'NATION_6' AND base_weight < 1900),
+changed AS (SELECT * FROM kept UNION ALL SELECT 'A-in', 'NATION_7', 'ATLANTIS', 50, 1 UNION ALL SELECT 'A-out', 'ATLANTIS', 'NATION_2', 60, 2)"""
 
 
 @query(S.with_(S.NODES, S.EDGES, _CHANGED, body="SELECT * FROM changed"))
@@ -687,7 +687,7 @@ def change_turns(spark, d):
     return turns.withColumn("penalty", F.col("penalty").cast("double"))
 
 
-@query(S.with_(S.NODES, S.EDGES, _CHANGED, "nn AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1)::INT AS i FROM (SELECT node_id FROM nodes WHERE node_id <> 'FRANCE' UNION ALL SELECT 'ATLANTIS'))", body="""SELECT (row_number() OVER (ORDER BY a.i, coalesce(e.edge_idx, CASE edge_id WHEN 'A-in' THEN 1000000 ELSE 1000001 END), edge_id) - 1)::INT AS edge_idx, c.edge_id, a.i AS origin, b.i AS dest FROM changed c JOIN nn a ON a.node_id = c.origin_id JOIN nn b ON b.node_id = c.dest_id LEFT JOIN (SELECT edge_id, edge_idx FROM edges) e USING (edge_id)"""))
+@query(S.with_(S.NODES, S.EDGES, _CHANGED, "nn AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1)::INT AS i FROM (SELECT node_id FROM nodes WHERE node_id <> 'NATION_6' UNION ALL SELECT 'ATLANTIS'))", body="""SELECT (row_number() OVER (ORDER BY a.i, coalesce(e.edge_idx, CASE edge_id WHEN 'A-in' THEN 1000000 ELSE 1000001 END), edge_id) - 1)::INT AS edge_idx, c.edge_id, a.i AS origin, b.i AS dest FROM changed c JOIN nn a ON a.node_id = c.origin_id JOIN nn b ON b.node_id = c.dest_id LEFT JOIN (SELECT edge_id, edge_idx FROM edges) e USING (edge_id)"""))
 def compiled_edges(spark, d):
     m = small_model(spark, d)
     nodes, edges, turns = topology.apply_changes(*topology.external(m), _changes(m))
