@@ -93,7 +93,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for w in _anchors(pieces):
         has_anchor = lower.contains(w) if has_anchor is None else has_anchor | lower.contains(w)
     known = spark.createDataFrame([(i, t) for i, t in pieces], "piece int, norm string")
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), SPLIT)).alias("pos", "s")).filter(has_anchor)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.select("row_id", "doc_id", F.posexplode(F.split("text", SPLIT)).alias("pos", "s")).filter(has_anchor)
     rows = rows.select("row_id", "doc_id", "pos", F.trim(F.regexp_replace(F.lower("s"), NOISE, " ")).alias("norm"))
     hits = rows.join(F.broadcast(known), "norm")  # a fixed table of a few dozen rows
     per = hits.groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("found"))
