@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.model import Model
 from ..staging import stage
 from . import cost as costs
+from . import heuristics
 from . import overlay as live
 from .cost import CostOptions
 from .search import FAR, _advance, matrix, replay, routes
@@ -83,12 +84,13 @@ def _objective(kind: str, vector: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: a["v"])
 
 
-def aggregate_routes(requests: DataFrame, model: Model, scenarios: DataFrame, overlay: DataFrame | None, kind: str, opts: CostOptions = CostOptions()) -> DataFrame:
+def aggregate_routes(requests: DataFrame, model: Model, scenarios: DataFrame, overlay: DataFrame | None, kind: str, opts: CostOptions = CostOptions(), known: DataFrame | None = None) -> DataFrame:
     """request_id, edge_path, objective, max_arrival of the route with the best EXPECTED cost or P90 cost over scenarios.
 
     Labels carry a cost and an arrival for every scenario and advance together, a row per label. A label goes if
-    another of the same edge is no worse in all of them and better in one, or if its objective is already
-    above the best one of its request. Ties (within 1e-6): earlier greatest arrival, smaller last edge, smaller path.
+    another of the same edge is no worse in all of them and better in one, or if its objective, with the least
+    cost that is left to the target added, is above the best one of its request; known (request_id, bound) gives
+    objectives that some route is known to reach. Ties (within 1e-6): earlier greatest arrival, smaller last edge, smaller path.
     A request without a scenario that reaches its target gives no row.
     """
     s = scenarios.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("scenario_id", F.col("probability").alias("p")))).alias("scenarios"))
@@ -99,6 +101,9 @@ def aggregate_routes(requests: DataFrame, model: Model, scenarios: DataFrame, ov
     edges = model.edges.select("edge_idx", "origin", "dest", "base_weight", "profile_id").join(model.profiles, "profile_id", "left")
     edges = edges.withColumn("entries", F.lit(None).cast("map<string,struct<speed_factor:float,valid_from:bigint,valid_until:bigint>>")) if entries is None else edges.join(entries, "edge_idx", "left")
     edges = stage(edges, "edges")
+    # no route from a node to a target costs less than this in any scenario
+    left = heuristics.distances(asked.select(F.col("target").alias("landmark")).distinct(), heuristics.bound_weights(model), backward=True).select(F.col("source").alias("target"), "node", F.col("distance").alias("ahead"))
+    left = stage(left, "ahead")
     sample = lambda x, cost, arrival: F.struct(x["scenario_id"].alias("scenario_id"), x["p"].alias("p"), cost.alias("cost"), arrival.alias("arrival"))
     front = asked.select("request_id", "target", F.col("source").alias("node"), F.lit(None).cast("int").alias("from_edge"), F.transform("scenarios", lambda x: sample(x, F.lit(0.0).cast("float"), F.col("departure"))).alias("v"), F.array().cast("array<int>").alias("path"))
     seen = reached = None
@@ -118,9 +123,16 @@ def aggregate_routes(requests: DataFrame, model: Model, scenarios: DataFrame, ov
 
         fresh = rows.select("request_id", "target", "edge_idx", F.col("dest").alias("node"), F.transform("v", extend).alias("v"), F.concat("path", F.array("edge_idx")).alias("path"), F.lit(number).alias("round"))
         fresh = fresh.filter(F.exists("v", lambda x: x["cost"] < INF)).withColumn("objective", _objective(kind, F.col("v")))
+        fresh = fresh.join(left, ["target", "node"])
+        bound = known
         if reached is not None:
-            bound = reached.groupBy("request_id").agg(F.min("objective").alias("bound"))
-            fresh = fresh.join(bound, "request_id", "left").filter(F.col("bound").isNull() | (F.col("objective") <= F.col("bound") + COST_TOLERANCE)).drop("bound")
+            own = reached.select("request_id", F.col("objective").alias("bound"))
+            bound = own if known is None else own.unionByName(known.select("request_id", "bound"))
+        if bound is not None:
+            least = bound.groupBy("request_id").agg(F.min("bound").alias("bound"))
+            # sums of floats along a route may round below the bound in doubles, by less than a millionth
+            fresh = fresh.join(least, "request_id", "left").filter(F.col("bound").isNull() | (F.col("objective") + F.col("ahead") * (1 - 1e-6) <= F.col("bound") + COST_TOLERANCE)).drop("bound")
+        fresh = fresh.drop("ahead")
         every = stage(fresh if seen is None else seen.unionByName(fresh), "vectors")
         other = every.select("request_id", "edge_idx", F.col("v").alias("w"), F.col("path").alias("other_path"))
         no_worse = F.forall(F.zip_with("v", "w", lambda a, b: (b["cost"] <= a["cost"]) & (b["arrival"] <= a["arrival"])), lambda t: t)
@@ -172,10 +184,13 @@ def future_routes(requests: DataFrame, model: Model, scenarios: DataFrame, overl
     optima = stage(routes(runs, model, overlay, opts), "optima")
     sign = F.concat(F.lit("E:"), F.array_join(F.transform("edge_path", lambda e: e.cast("string")), ","))
     found = optima.filter("reachable").select("request_id", "edge_path", sign.alias("signature"))
-    winners = {kind: stage(aggregate_routes(requests, model, scenarios, overlay, kind, opts).withColumn("signature", sign), kind.lower()) for kind in ("EXPECTED", "P90")}
+    departures = requests.select("request_id", "departure")
+    first = stage(score(found.dropDuplicates(["request_id", "signature"]).join(departures, "request_id"), optima, scenarios, model, overlay, opts), "first")
+    known = {kind: first.groupBy("request_id").agg(F.min(F.col(c).cast("double")).alias("bound")) for kind, c in (("EXPECTED", "expected_cost"), ("P90", "p90_cost"))}
+    winners = {kind: stage(aggregate_routes(requests, model, scenarios, overlay, kind, opts, known[kind]).withColumn("signature", sign), kind.lower()) for kind in ("EXPECTED", "P90")}
     added = winners["EXPECTED"].select("request_id", "edge_path", "signature").unionByName(winners["P90"].select("request_id", "edge_path", "signature"))
-    candidates = found.unionByName(added).dropDuplicates(["request_id", "signature"]).join(requests.select("request_id", "departure"), "request_id")
-    scored = stage(score(candidates, optima, scenarios, model, overlay, opts), "candidates")
+    new = added.dropDuplicates(["request_id", "signature"]).join(found.select("request_id", "signature"), ["request_id", "signature"], "left_anti")
+    scored = stage(first.unionByName(score(new.join(departures, "request_id"), optima, scenarios, model, overlay, opts)), "candidates")
     pick = lambda kind: scored.join(winners[kind].select("request_id", "signature"), ["request_id", "signature"])
     seeds = winners["EXPECTED"].select("request_id", "signature", F.lit(0).alias("seed_rank")).unionByName(winners["P90"].select("request_id", "signature", F.lit(1).alias("seed_rank"))).groupBy("request_id", "signature").agg(F.min("seed_rank").alias("seed_rank"))
     counts = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_optimal"), F.countDistinct("signature").alias("n_unique")).join(scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_candidates")), "request_id")

@@ -415,7 +415,7 @@ def matrix_request(spark, d):
     return all_ids.select(F.lit("all").alias("request_id"), F.transform("n", lambda x: x["node_id"]).alias("source_ids"), F.transform("n", lambda x: x["node_id"]).alias("target_ids"), F.lit(NOW).cast("long").alias("departure"))
 
 
-@query(S.with_(S.LIVE, S.search(_CELLS, 6, False, True), "b AS (SELECT q, target, arg_min({'c': cost, 'a': arrival}, (cost, arrival)) AS b FROM r GROUP BY ALL)", body="""SELECT req.source, req.target, req.source = req.target OR b.b IS NOT NULL AS reachable, CASE WHEN req.source = req.target THEN 0 ELSE round(coalesce(b.b.c, 'inf'::FLOAT)::DOUBLE, 4) END AS cost, coalesce(b.b.a, departure) AS arrival FROM req LEFT JOIN b ON b.q = req.q AND b.target = req.target"""))
+@query(S.with_(S.LIVE, S.search(_CELLS, 9, False, True), "b AS (SELECT q, target, arg_min({'c': cost, 'a': arrival}, (cost, arrival)) AS b FROM r GROUP BY ALL)", body="""SELECT req.source, req.target, req.source = req.target OR b.b IS NOT NULL AS reachable, CASE WHEN req.source = req.target THEN 0 ELSE round(coalesce(b.b.c, 'inf'::FLOAT)::DOUBLE, 4) END AS cost, coalesce(b.b.a, departure) AS arrival FROM req LEFT JOIN b ON b.q = req.q AND b.target = req.target"""))
 def matrix_search(spark, d):
     m = small_model(spark, d)
     over = stage(live_overlay(spark, d, m.edges), "overlay")
@@ -606,7 +606,7 @@ _PCT = "SELECT q, target, min(v) FILTER (WHERE cum + 1e-6 >= {p} * tot) AS pct F
 _FCELLS = f"SELECT s.n_nationkey AS q, sc, s.n_nationkey::INT AS source, t.n_nationkey::INT AS target, {NOW}::BIGINT AS departure FROM nation s, nation t, sc"
 
 
-@query(S.with_(*_FUTURE, S.search(_FCELLS, 6, False, True, True), f"""cell AS MATERIALIZED (SELECT req.q, req.target, req.sc, sc.p, CASE WHEN req.source = req.target THEN 0::FLOAT ELSE coalesce(b.c, 'inf'::FLOAT) END AS v, CASE WHEN req.source = req.target THEN departure ELSE coalesce(b.a, 9223372036854775807) END AS a
+@query(S.with_(*_FUTURE, S.search(_FCELLS, 9, False, True, True), f"""cell AS MATERIALIZED (SELECT req.q, req.target, req.sc, sc.p, CASE WHEN req.source = req.target THEN 0::FLOAT ELSE coalesce(b.c, 'inf'::FLOAT) END AS v, CASE WHEN req.source = req.target THEN departure ELSE coalesce(b.a, 9223372036854775807) END AS a
   FROM req JOIN sc USING (sc) LEFT JOIN (SELECT q, sc, target, min(cost) AS c, arg_min(arrival, (cost, arrival)) AS a FROM r GROUP BY ALL) b ON b.q = req.q AND b.sc = req.sc AND b.target = req.target)""", body=f"""SELECT c.q::INT AS source, c.target, round(sum(CASE WHEN v < 'inf'::FLOAT THEN p ELSE 0 END), 6) AS reach_probability, round(CASE WHEN max(v) = 'inf'::FLOAT THEN 'inf'::DOUBLE ELSE sum(p * v::DOUBLE) END, 3) AS expected_cost,
 round(min(v)::DOUBLE, 3) AS min_cost, round(max(v)::DOUBLE, 3) AS max_cost, min(a) AS min_arrival, max(a) AS max_arrival, round(any_value(x.pct)::DOUBLE, 3) AS p50_cost, round(any_value(y.pct)::DOUBLE, 3) AS p90_cost
 FROM cell c JOIN ({_PCT.format(p='0.5')}) x USING (q, target) JOIN ({_PCT.format(p='0.9')}) y USING (q, target) GROUP BY c.q, c.target"""))
