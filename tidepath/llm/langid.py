@@ -218,8 +218,9 @@ def training_spans(labelled: DataFrame, per_language: int = 400, words: int = 64
 
     labelled has text and lang and a draw, a number in [0, 1) fixed by the row.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    some = labelled.join(counts, "lang").filter(F.col("draw") * F.col("n") < 4 * per_language).drop("n")
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per label of the model
+    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(4.0 * per_language / n))]), F.col("lang")) if counts else F.lit(0.0)
+    some = labelled.filter(F.col("draw") < share)
     first = Window.partitionBy("lang").orderBy("draw", "text")
     some = some.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= per_language)
     inside = some.select("lang", "text", F.pmod(F.col("draw") * 1e6, F.lit(1.0)).alias("where"))
