@@ -4,8 +4,8 @@ One hash per word shingle; its high bits choose a bin, and a bin keeps its least
 from others by optimal densification. Bins in bands give bucket keys. Documents with equal shingle sets are
 one class, and only one of them goes on. In a bucket of n classes a hub gets n - 1 edges; edges are confirmed
 on full shingle sets. Buckets whose members are still in several components get further hubs, chosen outside
-of the largest component and more of them each round, until every member outside of it has been a hub: pairs
-within a component are never looked at, and no link that shares a bucket is lost. Before that, classes that
+of the largest component and more of them each round, until every member that is still outside of it has been
+a hub: pairs within a component are never looked at, and no link that shares a bucket is lost. Before that, classes that
 have too few shingles in common with all others together to be linked with any are set aside.
 """
 
@@ -23,8 +23,10 @@ from .graph import components
 from .tokens import mix, raw_column, split_rows, windows, words_of
 
 BINS, ROWS, BANDS = 256, 5, 40
-#: Sets of this size or more are compared by sketch first; smaller ones go to the full comparison.
-SKETCH_LEAST, SKETCH_MATCH = 64, 192
+#: Sets of this size or more are compared by sketch first, four bits of each bin; smaller ones go to the full comparison.
+SKETCH_LEAST = 64
+#: Standard deviations that a sketch may fall behind what it shows for a pair at the threshold.
+SKETCH_SLACK = 4.0
 
 
 def _shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +119,8 @@ def _sign(k: int):
                         signatures(rows, hashes, values, full)
                 densify(values, full)
                 keys = band_keys(values)
-                bits = np.packbits((mix(values.copy()) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                nibbles = (mix(values.copy()) & np.uint64(15)).astype(np.uint8)
+                bits = (nibbles[:, ::2] << 4 | nibbles[:, 1::2]).view(np.int64)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(np.ascontiguousarray(bits)), lists(keys)], schema=_SIGNED)
 
@@ -139,12 +142,22 @@ def _sets(k: int):
 
 
 def _similar(a: str, b: str, percent: int) -> F.Column:
-    """Sizes allow the similarity, and so do the sketches; a bit of a sketch agrees with probability (1 + similarity) / 2."""
-    sizes = (F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= percent * F.greatest(f"{a}.n_shingles", f"{b}.n_shingles"))
-    agree = F.lit(BINS)
-    for i in range(BINS // 64):
-        agree = agree - F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i]))
-    return sizes & ((F.least(f"{a}.n_shingles", f"{b}.n_shingles") < SKETCH_LEAST) | (agree >= SKETCH_MATCH))
+    """Sizes allow the similarity, and so do the sketches: bins of a pair at the threshold differ in 15 of 16 cases where the bins' values do."""
+    least = F.least(f"{a}.n_shingles", f"{b}.n_shingles")
+    sizes = least * 100 >= percent * F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
+    differ = F.lit(0)
+    for i in range(BINS // 16):
+        x = F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
+    rate = (1 - percent / 100) * 15 / 16
+    # bins draw from the union without replacement, so small sets are seen almost whole; empty bins repeat full ones
+    union = (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) / (1 + percent / 100)
+    full = BINS * (1 - F.exp(-union / BINS))
+    spread = rate * (1 - rate) / full * (1 - full / union + 0.5 * (1 - full / BINS))
+    most = BINS * rate + SKETCH_SLACK * BINS * F.sqrt(spread)
+    return sizes & ((least < SKETCH_LEAST) | (differ <= most))
 
 
 def fetch_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -173,7 +186,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text", more_hubs: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text", more_hubs: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     component_id is the smallest doc_id reachable over links of at least `percent` percent Jaccard similarity of
@@ -190,8 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     some = signed.filter("n_shingles > 0")
     classes = stage(some.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "row_id")).alias("rep")).select("d1", "d2", "n_shingles", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.row_id").alias("node")), "classes")
     heads = some.join(classes.select("node"), F.col("row_id") == F.col("node"), "left_semi")
-    nodes = heads.select(F.col("row_id").alias("node"), "doc_id", "text_hash", "n_shingles", "sketch")
-    banded = heads.select(F.col("row_id").alias("node"), F.explode("bands").alias("bucket"))
+    nodes = heads.select(F.col("row_id").alias("node"), "doc_id", "text_hash", "n_shingles", "sketch", "bands")
+    banded = heads.select(F.col("row_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stage(banded.join(shared, "bucket").join(nodes.select("node", "n_shingles", "sketch"), "node"), "members")
 
@@ -199,38 +212,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     pair = [F.greatest("m.node", "h.node").alias("u"), F.least("m.node", "h.node").alias("v")]
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles", "sketch")).alias("hub")).select("bucket", "hub.*")
     stars = members.alias("m").join(hubs.alias("h"), by_bucket & (F.col("m.node") != F.col("h.node")) & _similar("m", "h", percent))
-    tried = stage(stars.select(*pair).distinct(), "pairs")
-    links = stage(confirm(tried, fetch_sets(_ends(tried), nodes, texts, k), percent), "links")
+    pairs = stage(stars.select(*pair).distinct(), "pairs")
+    links = stage(confirm(pairs, fetch_sets(_ends(pairs), nodes, texts, k), percent), "links")
     labels = stage(components(links), "labels")
 
-    def still_open(rows: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with their component, and whether they are outside of the largest."""
-        now = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        counts = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        return stage(now.join(main, "bucket").withColumn("outside", F.col("component") != -F.col("top.c")).drop("top", "parts"), "open")
+    def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.join(labels.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-    # sets of what is open, and how much of each set anything else in it has: a link needs s shingles in common, s (100 + percent) >= percent (a + b)
-    now = still_open(members)
+    # buckets that hold several components; each has an anchor in its largest one. What is with the anchor stays so, as components only grow
+    now = labelled(members, "node", "component")
+    counts = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("anchor"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "anchor", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    now = now.join(main, "bucket").withColumn("outside", F.col("component") != F.col("top.component")).withColumn("anchor", F.col("top.anchor")).drop("top", "parts", "component")
+    now = stage(now, "open")
+    # how much of each set anything else that is open has too: a link needs s shingles in common, s (100 + percent) >= percent (a + b)
     sets = fetch_sets(now.select("node").distinct(), nodes, texts, k)
     enough = F.col("n_shared") * 100 >= percent * F.col("n_shingles")
-    rest = stage(now.drop("component", "outside").join(shared_counts(sets), "node").filter(enough), "rest")
     both = (F.least("m.n_shared", "h.n_shared") * (100 + percent)) >= percent * (F.col("m.n_shingles") + F.col("h.n_shingles"))
-    hubs_each = more_hubs
-    while True:
-        now = still_open(rest)
-        turn = Window.partitionBy("bucket").orderBy("node")
-        ordered = now.filter("outside").withColumn("turn", F.row_number().over(turn))
-        hubs = ordered.filter(F.col("turn") <= hubs_each)
-        stars = now.alias("m").join(hubs.alias("h"), by_bucket & (F.col("m.component") != F.col("h.component")) & both & _similar("m", "h", percent))
-        pairs = stage(stars.select(*pair).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            found = stage(confirm(pairs, sets, percent), "links")
-            tried, links = tried.unionByName(pairs), links.unionByName(found)
+    # members outside take turns as hubs, each once
+    rest = now.join(shared_counts(sets), "node").filter(enough).join(nodes.select("node", "bands"), "node")
+    rest = stage(rest.withColumn("turn", F.when(F.col("outside"), F.row_number().over(Window.partitionBy("bucket", "outside").orderBy("node")))).drop("outside"), "rest")
+    # a pair is looked at in the first bucket it shares; one of the two is outside there, so it becomes a hub
+    before = lambda side: F.slice(f"{side}.bands", F.lit(1), F.col(f"{side}.band"))
+    first = ~F.arrays_overlap(before("m"), before("h"))
+    last = rest.agg(F.max("turn")).first()[0] or 0
+    done, upto = 0, more_hubs
+    while done < last:
+        now = labelled(labelled(rest, "node", "component"), "anchor", "main")
+        hubs = now.filter((F.col("turn") > done) & (F.col("turn") <= upto) & (F.col("component") != F.col("main")))
+        stars = now.alias("m").join(hubs.alias("h"), by_bucket & (F.col("m.component") != F.col("h.component")) & both & _similar("m", "h", percent) & first)
+        found = stage(confirm(stage(stars.select(*pair).distinct(), "pairs"), sets, percent), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
             labels = stage(components(links), "labels")
-        if ordered.filter(F.col("turn") > hubs_each).isEmpty():
-            break
-        hubs_each *= more_hubs
+        done, upto = upto, upto * 4
     ends = nodes.join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = labels.join(ends, "component").select("node", "component_id")
     placed = classes.join(found, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep_doc").alias("component_id"))
