@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 from .tokens import NOT_WORD, mix, raw_column, split_rows, words_of
 
 #: Fixed masks of 8 of 12 and 8 of 13 words, and one of 6 words in a row for short items; 1 is a word that counts.
@@ -141,6 +141,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that overlap with a benchmark item."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """docs without the rows that overlap with a benchmark item, with all their columns, whatever their names.
+
+    doc_id is the key of docs: rows that repeat it go or stay together, and rows without one stay.
+    """
+    name = free_name(docs, "_gone")
+    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

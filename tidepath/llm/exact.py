@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -74,8 +74,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, one of each group of equal texts, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    found = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
-    return found.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    """The rows of docs that exact_dedup keeps, one of each group of equal texts, with all their columns, whatever their names.
+
+    Of rows that repeat both doc_id and text one stays; null ids are equal.
+    """
+    own, kept_id, kept_hash = (free_name(docs, c) for c in ("_text_hash", "_kept_id", "_kept_hash"))
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
+    keyed = docs.withColumn(own, F.xxhash64(text_col))
+    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash)), "left_semi")
+    return found.dropDuplicates([id_col, own]).drop(own)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .tokens import Words, raw_column, split_rows, words_of
 
 FEATURES = 1 << 16
@@ -308,4 +309,4 @@ def identify_language(docs: DataFrame, train_on: DataFrame | None = None, per_la
 def keep_identified(docs: DataFrame, least_score: float = 0.4, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language is identified with at least that score, with all their columns; null and letterless texts go. No shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, id_col, text_col, lang_col))
-    return docs.select("*", _letters(text_col).alias("_has_letters"), F.col(text_col).alias("_text")).mapInArrow(_keep(model, least_score), docs.schema)
+    return docs.select("*", _letters(text_col).alias(free_name(docs, "_has_letters")), F.col(text_col).alias(free_name(docs, "_text"))).mapInArrow(_keep(model, least_score), docs.schema)

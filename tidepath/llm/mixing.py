@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -77,9 +77,10 @@ def apply_mix(docs: DataFrame, mix: DataFrame, text_col: str = "text", id_col: s
     A copy that the cut falls in keeps only its first words. doc_id must be unique and not null in docs;
     documents of which nothing is taken are left out.
     """
+    own_id, own_size = free_name(docs, "_mix_id"), free_name(docs, "_mix_size")
     copies = mix.filter("taken > 0 and size > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")).cast("long")), lambda e: F.least(F.col("size"), F.col("taken") - e * F.col("size")))).alias("epoch", "taken")
+        F.col("doc_id").alias(own_id), F.col("size").alias(own_size), F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")).cast("long")), lambda e: F.least(F.col("size"), F.col("taken") - e * F.col("size")))).alias("epoch", "taken")
     )
     head = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(taken as int)), ' ')")
-    joined = docs.drop("epoch", "taken").join(copies, F.col(id_col) == F.col("_mix_id"))
-    return joined.withColumn(text_col, F.when(F.col("taken") < F.col("_mix_size"), head).otherwise(F.col(text_col))).drop("_mix_id", "_mix_size")
+    joined = docs.drop("epoch", "taken").join(copies, F.col(id_col) == F.col(own_id))
+    return joined.withColumn(text_col, F.when(F.col("taken") < F.col(own_size), head).otherwise(F.col(text_col))).drop(own_id, own_size)

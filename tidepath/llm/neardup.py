@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 from .graph import components
 from .tokens import mix, raw_column, split_rows, windows, words_of
 
@@ -255,6 +255,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_duplicates does not keep: of each group the one with the smallest doc_id stays."""
-    gone = near_duplicates(docs, percent, k, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """docs without the rows that near_duplicates does not keep: of each group the one with the smallest doc_id stays, with all its columns, whatever their names.
+
+    doc_id is the key of docs: rows that repeat it go or stay together, and rows without one stay.
+    """
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs, percent, k, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
