@@ -117,6 +117,24 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_overlap_against_all_windows(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(rng.integers(1, 45))
+        b = rng.integers(0, 2**40, n)
+        a = np.where(rng.random(n) < rng.choice([0.2, 0.28, 0.5]), -1, b)
+        same = a == b
+        best = max((int(same[i:j].sum()) for i in range(n) for j in range(i + 1, n + 1) if 4 * same[i:j].sum() >= 3 * (j - i)), default=0)
+        matched, start, size = decontam.best_overlap(a, b, 0)
+        assert matched == best and matched == same[start : start + size].sum() and 4 * matched >= 3 * size
+    # an overlap that goes on below the share is found, also beside a diagonal with more equal words
+    item = [f"w{i}" for i in range(43)]
+    other = lambda *spans: [f"x{i}" if any(lo <= i < hi for lo, hi in spans) else w for i, w in enumerate(item)]
+    rows = [(1, " ".join(other((12, 20), (29, 43))), "en", "s"), (2, " ".join(other((20, 31))), "en", "s"), (3, " ".join(other((6, 12), (18, 24), (30, 36)) + item[:12]), "en", "s")]
+    got = decontam.contaminated(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.matched, r.overlap) for r in got) == [(1, 12, 12), (2, 20, 20), (3, 12, 12)]
+
+
 LANGS = {"xx": "ba be bo bu da".split(), "yy": "ki ke ku shi tsu".split()}
 
 

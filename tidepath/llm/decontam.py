@@ -64,20 +64,22 @@ def _seeds(bitmap):
     return run
 
 
-def best_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(equal words, first word in b, words) of the best ungapped overlap of b with a at b's word 0 = a's word `shift`: a match counts 1, a mismatch -1, and the best sum wins."""
+def best_overlap(a: np.ndarray, b: np.ndarray, shift: int, least_share: float = LEAST_SHARE) -> tuple[int, int, int]:
+    """(equal words, first word in b, words) of the ungapped overlap of b with a, at b's word 0 = a's word `shift`, that has the most equal words of all whose equal words are at least `least_share` of it; begins and ends with an equal word."""
     lo, hi = max(0, -shift), min(len(b), len(a) - shift)
     if hi <= lo:
         return 0, 0, 0
     same = a[lo + shift : hi + shift] == b[lo:hi]
-    best, total, begin, found = 0, 0, 0, (0, 0)
-    for i, s in enumerate(same.tolist()):
-        total += 1 if s else -1
-        if total <= 0:
-            total, begin = 0, i + 1
-        elif total > best:
-            best, found = total, (begin, i + 1)
-    return int(same[found[0] : found[1]].sum()), lo + found[0], found[1] - found[0]
+    # equal words gain, others lose, so that an overlap has the share if the sum does not fall over it
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - least_share, -least_share))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # the first place from which the sum does not fall up to j is the first whose running least is not above it
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9)
+    j = int(np.argmax(equal - equal[begin]))
+    places = np.flatnonzero(same[begin[j] : j]) + begin[j]
+    if not len(places):
+        return 0, 0, 0
+    return len(places), lo + int(places[0]), int(places[-1] - places[0]) + 1
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("overlap", pa.int64()), ("item_words", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64())])
@@ -99,9 +101,8 @@ def _verify(least_words: int, least_share: float):
             out = []
             for i, shifts in enumerate(batch.column(4).to_pylist()):
                 a, b = hashes[0][i], hashes[1][i]
-                best = max((best_overlap(a, b, s) + (s,) for s in sorted(shifts)), key=lambda x: (x[0], -x[3]))
-                matched, start, size, shift = best
-                if size and matched >= min(least_words, least_share * len(b)) and matched >= least_share * size:
+                matched, start, size, shift = max((best_overlap(a, b, s, least_share) + (s,) for s in shifts), key=lambda x: (x[0], -x[2], -x[3]))
+                if size and matched >= min(least_words, least_share * len(b)):
                     out.append((batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), matched, size, len(b), start + shift, start))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(7)], schema=_FOUND)
 
@@ -124,8 +125,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
     Words are runs of letters and digits (bytes above ASCII count as letters), A-Z lower-cased. An overlap is
     an ungapped alignment found from a seed; `matched` of its words are equal. It counts if they are at least
     `least_words`, or that share of a shorter item, and at least `least_share` of the overlap. Null and empty
-    texts match nothing, nor do items of fewer than 6 words. A repeated row or item gives its own pair. The
-    best overlap of each pair is returned.
+    texts match nothing, nor do items of fewer than 6 words. A repeated row or item gives its own pair. Of the
+    overlaps of a pair that have the share, the one with the most equal words is returned.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     items = stage(benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")), "items")
