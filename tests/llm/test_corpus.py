@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,28 @@ def test_language_model(spark):
     assert lmscore.score_documents(docs(spark, [])).count() == 0
 
 
+def test_language_model_rare_words(spark):
+    rng = random.Random(5)
+    rare = [f"r{i}" for i in range(3000)]
+    # words of one bucket differ by their counts, and one that training has not seen is as rare as one seen once
+    train = [(i, " ".join(rng.choice(rare[:1000] if rng.random() < 0.9 else rare[1000:]) for _ in range(60)), "en", "s") for i in range(400)]
+    counts = lmscore.count_words(docs(spark, train).select("text"))
+    vocabulary = lmscore.build_vocabulary(counts)
+    hashes = {w: int(lmscore.words_of(*lmscore.raw_column(pa.array([w])), 0, 1).hashes(lower=True)[0]) for w in [*rare, "unseen0"]}
+    n = {w: sum(t.split().count(w) for _, t, _, _ in train) for w in rare}
+    token = {w: int(vocabulary.tokens(np.array([h], dtype=np.uint64))[0]) for w, h in hashes.items()}
+    buckets = {}
+    for w in rare:
+        if n[w] and token[w] >= vocabulary.own:
+            buckets.setdefault(token[w], []).append(w)
+    assert all(vocabulary.totals[k - vocabulary.own] == sum(n[w] for w in ws) for k, ws in buckets.items())
+    words = next([min(ws, key=n.get), max(ws, key=n.get)] for ws in buckets.values() if len({n[w] for w in ws}) > 1)
+    test = [(i, w, "en", "s") for i, w in enumerate(words)] + [(3, f"{words[1]} {words[1]}", "en", "s")]
+    got = {r.doc_id: r for r in lmscore.score_documents(docs(spark, test), docs(spark, train)).collect()}
+    assert got[1].log_likelihood - got[0].log_likelihood == pytest.approx(np.log(n[words[1]] / n[words[0]]), abs=1e-5)
+    assert got[3].n_tokens == 2 and lmscore.side_for(10**5) < lmscore.side_for(10**7)
+
+
 def test_pipeline_on_a_fixture(spark, tmp_path):
     import corpus_pipeline
 

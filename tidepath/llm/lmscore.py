@@ -2,12 +2,14 @@
 
 The network predicts every token from the three before and the three after it: position-wise embeddings of
 the context are summed, squashed, and read out by a two-level softmax, first the token's class, then the
-token in its class. Word counts cover the whole corpus; training is data-parallel: each task runs gradient
+token in its class. A rare word's token is a bucket, and the word then has its exact share of the bucket's
+count. Word counts cover the whole corpus, and the number of classes grows with it; training is data-parallel: each task runs gradient
 steps over its own rows from the common parameters, and parameters are averaged by Spark, weighted by tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,25 +18,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
 from .tokens import mix, raw_column, split_rows, words_of
 
-CLASSES, IN_CLASS = 32, 32
-VOCABULARY = CLASSES * IN_CLASS
-#: Words of their own; the rest of the vocabulary are buckets of all other words, by hash.
-OWN = VOCABULARY - 128
+#: Classes, and tokens in each: at least LEAST_SIDE, and GROWTH times the fifth root of the number of distinct words, so tokens grow with its power of 2/5.
+LEAST_SIDE, GROWTH = 32, 3.3
+#: Of the tokens one in this many is a bucket of rare words, by hash; the others are words of their own.
+PER_BUCKET = 8
 REACH, HIDDEN = 3, 16
 #: One in this many positions of every document is a training example of a round.
 EVERY, ROUNDS, STEP = 16, 2, 0.15
 BLOCK = 64
 
 
+def side_for(distinct: int) -> int:
+    return max(LEAST_SIDE, math.ceil(GROWTH * distinct**0.2))
+
+
 @dataclass
 class Vocabulary:
     hashes: np.ndarray  # sorted
     ids: np.ndarray
+    side: int
+    totals: np.ndarray  # words counted in each bucket
+
+    @property
+    def size(self) -> int:
+        return self.side**2
+
+    @property
+    def own(self) -> int:
+        return self.size - self.size // PER_BUCKET
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        rest = OWN + (mix(hashes.copy()) % np.uint64(VOCABULARY - OWN)).astype(np.int64)
+        rest = self.own + (mix(hashes.copy()) % np.uint64(self.size - self.own)).astype(np.int64)
         if not len(self.hashes):
             return rest
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -69,34 +86,63 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], schema=_COUNTS)
 
 
-def build_vocabulary(texts: DataFrame) -> Vocabulary:
-    """The OWN most frequent words of all texts, by descending count, then hash."""
-    counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
+def _totals(vocabulary: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(vocabulary.size, dtype=np.int64)
+        for batch in batches:  # word, n
+            token = vocabulary.tokens(batch.column(0).to_numpy().view(np.uint64))
+            np.add.at(out, token, batch.column(1).to_numpy())
+        at = np.flatnonzero(out)
+        at = at[at >= vocabulary.own]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], schema=_COUNTS)
+
+    return run
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """word (hash), n of every distinct word."""
+    return stage(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def build_vocabulary(counts: DataFrame) -> Vocabulary:
+    """The most frequent words by descending count, then hash, and the sums of the buckets of all others. Both have the model's size."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    found = Vocabulary(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), side_for(sum(n for _, n in steps)), np.zeros(0))
+    least, held = 0, 0
+    for least, n in steps:
+        held += n
+        if held >= found.own:
+            break
+    top = counts.filter(step >= least).orderBy(F.desc("n"), "word").limit(found.own).collect()
     words = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
-    return Vocabulary(words[order], order.astype(np.int64))
+    found.hashes, found.ids = words[order], order.astype(np.int64)
+    found.totals = np.zeros(found.size - found.own)
+    for r in counts.mapInArrow(_totals(found), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        found.totals[r.word - found.own] = r.n
+    return found
 
 
 @dataclass
 class Network:
-    context: np.ndarray  # 2 * REACH, VOCABULARY + 1, HIDDEN; the last token stands outside of the text
+    context: np.ndarray  # 2 * REACH, tokens + 1, HIDDEN; the last token stands outside of the text
     bias: np.ndarray
-    classes: np.ndarray  # HIDDEN + 1, CLASSES
-    words: np.ndarray  # CLASSES, HIDDEN + 1, IN_CLASS
+    classes: np.ndarray  # HIDDEN + 1, side
+    words: np.ndarray  # side, HIDDEN + 1, side
 
     @staticmethod
-    def fresh(seed: int = 3) -> Network:
+    def fresh(side: int, seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
         f = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        return Network(f(2 * REACH, VOCABULARY + 1, HIDDEN), f(HIDDEN), f(HIDDEN + 1, CLASSES), f(CLASSES, HIDDEN + 1, IN_CLASS))
+        return Network(f(2 * REACH, side**2 + 1, HIDDEN), f(HIDDEN), f(HIDDEN + 1, side), f(side, HIDDEN + 1, side))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.context, self.bias, self.classes, self.words)])
 
     @staticmethod
-    def unflat(flat: np.ndarray) -> Network:
-        like, out, at = Network.fresh(), [], 0
+    def unflat(flat: np.ndarray, side: int) -> Network:
+        like, out, at = Network.fresh(side), [], 0
         for x in (like.context, like.bias, like.classes, like.words):
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
@@ -113,7 +159,8 @@ class Network:
     def log_probs(self, around: np.ndarray, token: np.ndarray, learn: float = 0.0) -> np.ndarray:
         """Log probability of each token given its context; with learn, a gradient step of that rate follows."""
         h = self.hidden(around)
-        cls, word = token // IN_CLASS, token % IN_CLASS
+        side = len(self.words)
+        cls, word = token // side, token % side
         rows = np.arange(len(token))
         score = h @ self.classes
         score -= score.max(axis=1, keepdims=True)
@@ -126,8 +173,8 @@ class Network:
             back = p @ self.classes.T
             self.classes -= learn * (h.T @ p)
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(cls[order], np.arange(side + 1))
+        for c in range(side):
             part = order[edges[c] : edges[c + 1]]
             if not len(part):
                 continue
@@ -150,9 +197,9 @@ class Network:
         return out
 
 
-def _contexts(tokens: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The tokens around the places `which`, VOCABULARY where their row has none."""
-    out = np.full((len(which), 2 * REACH), VOCABULARY, dtype=np.int64)
+def _contexts(tokens: np.ndarray, rows: np.ndarray, which: np.ndarray, outside: int) -> np.ndarray:
+    """The tokens around the places `which`, `outside` where their row has none."""
+    out = np.full((len(which), 2 * REACH), outside, dtype=np.int64)
     for j, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
         at = which + d
         inside = (at >= 0) & (at < len(tokens))
@@ -167,7 +214,7 @@ _PARAMS = pa.schema([("block", pa.int64()), ("weight", pa.float64()), ("v", pa.l
 def _train(shared, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = shared.value
-        net, seen = Network.unflat(flat), 0
+        net, seen = Network.unflat(flat, vocabulary.side), 0
         for batch in batches:
             data, offs = raw_column(batch.column(0))
             for lo, hi in split_rows(offs):
@@ -178,7 +225,7 @@ def _train(shared, turn: int):
                 which = np.flatnonzero((place + rows + lo + 5 * turn) % EVERY == 0)
                 for at in range(0, len(which), 256):
                     part = which[at : at + 256]
-                    net.log_probs(_contexts(tokens, rows, part), tokens[part], STEP / 16)
+                    net.log_probs(_contexts(tokens, rows, part, vocabulary.size), tokens[part], STEP / 16)
                     seen += len(part)
         if seen:
             flat = net.flat()
@@ -190,8 +237,8 @@ def _train(shared, turn: int):
 
 
 def train_network(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Rounds of local steps and averaging. The driver gets the average alone, whose size does not depend on the corpus."""
-    net = Network.fresh()
+    """Rounds of local steps and averaging. The driver gets the average alone, which has the model's size."""
+    net = Network.fresh(vocabulary.side)
     spark = texts.sparkSession
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, net.flat()))
@@ -201,30 +248,42 @@ def train_network(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS
         rows = sorted(tuple(r) for r in mean.collect())
         if not rows:
             break
-        net = Network.unflat(np.array([r[1:] for r in rows], dtype=np.float32).ravel())
+        net = Network.unflat(np.array([r[1:] for r in rows], dtype=np.float32).ravel(), vocabulary.side)
     return net
 
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_prob", pa.float64())])
+_SCORES = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("total", pa.float64()), ("word", pa.int64()), ("times", pa.int64())])
+SCORES = "row_id long, doc_id long, n_tokens long, total double, word long, times long"
 
 
 def _score(shared):
+    """For each row one with its tokens' log probabilities, less the logs of the buckets' sums, and one for each of its distinct rare words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = shared.value
-        net = Network.unflat(flat)
-        for batch in batches:  # doc_id, text
-            data, offs = raw_column(batch.column(1))
+        net = Network.unflat(flat, vocabulary.side)
+        whole = np.concatenate([np.zeros(vocabulary.own), np.log(vocabulary.totals + 1)])
+        for batch in batches:  # row_id, doc_id, text
+            data, offs = raw_column(batch.column(2))
             for lo, hi in split_rows(offs):
                 words = words_of(data, offs, lo, hi)
-                tokens, rows = vocabulary.tokens(words.hashes(lower=True)), words.rows
+                h = words.hashes(lower=True)
+                tokens, rows = vocabulary.tokens(h), words.rows
                 logs = np.zeros(len(tokens))
                 for at in range(0, len(tokens), 32768):
                     part = np.arange(at, min(at + 32768, len(tokens)))
-                    logs[part] = net.log_probs(_contexts(tokens, rows, part), tokens[part])
-                n = np.diff(words.first)
-                total = np.bincount(rows, logs, hi - lo)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(total), mean], schema=_SCORES)
+                    logs[part] = net.log_probs(_contexts(tokens, rows, part, vocabulary.size), tokens[part])
+                logs -= whole[tokens]
+                n, ids = hi - lo, batch.column(0).slice(lo, hi - lo).to_numpy()
+                # a row's own entry is no word; any key serves, so they spread over the join
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1).slice(lo, n), pa.array(np.diff(words.first)), pa.array(np.bincount(rows, logs, n)), pa.array(mix(ids.view(np.uint64).copy()).view(np.int64)), pa.array(np.zeros(n, dtype=np.int64))], schema=_SCORES)
+                rare = np.flatnonzero(tokens >= vocabulary.own)
+                rare = rare[np.lexsort((h[rare], rows[rare]))]
+                if len(rare):
+                    first = np.flatnonzero(np.concatenate([[True], (h[rare][1:] != h[rare][:-1]) | (rows[rare][1:] != rows[rare][:-1])]))
+                    times, rare = np.diff(np.concatenate([first, [len(rare)]])), rare[first]
+                    none = pa.nulls(len(rare), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[rare]]), none, none, pa.nulls(len(rare), pa.float64()), pa.array(h[rare].view(np.int64)), pa.array(times)], schema=_SCORES)
 
     return run
 
@@ -232,14 +291,20 @@ def _score(shared):
 def score_documents(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_prob: one row per input row.
 
-    log_likelihood sums the log probability of every word given the words around it, over the whole text.
-    Null and empty texts have no tokens, likelihood 0 and a null mean. Repeated rows get equal rows and weigh
-    as often in training. An empty table gives no rows. The vocabulary counts every word of train_on (or
-    docs), and every document gives one in EVERY of its positions to each training round.
+    log_likelihood sums the log probability of every word given the words around it, over the whole text. A
+    rare word has its bucket's probability times its share n / (N + 1) of the bucket's N counted words; one
+    that train_on does not have counts as one. Null and empty texts have no tokens, likelihood 0 and a null
+    mean. Repeated rows get equal rows and weigh as often in training. An empty table gives no rows. The
+    vocabulary counts every word of train_on (or docs), and every document gives one in EVERY of its
+    positions to each training round.
     """
     spark = docs.sparkSession
     texts = (docs if train_on is None else train_on).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    vocabulary = build_vocabulary(texts)
+    counts = count_words(texts)
+    vocabulary = build_vocabulary(counts)
     net = train_network(texts, vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, net.flat()))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(shared), "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+    parts = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(shared), SCORES)
+    share = F.when(F.col("times") > 0, F.col("times") * F.log(F.coalesce("n", F.lit(1)).cast("double"))).otherwise(F.col("total"))
+    rows = parts.join(counts, "word", "left").groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(share).alias("log_likelihood"))
+    return rows.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))
