@@ -214,6 +214,26 @@ def test_language_model_rare_words(spark):
     assert got[3].n_tokens == 2 and lmscore.side_for(10**5) < lmscore.side_for(10**7)
 
 
+def test_language_model_trains_every_position():
+    data, offs = lmscore.raw_column(pa.array(["one", "one two", None, " ".join(map(str, range(77)))]))
+    words = lmscore.words_of(data, offs, 0, 4)
+    for rounds in (1, lmscore.ROUNDS, 5):
+        assert sorted(np.concatenate([lmscore.trained(words, turn, rounds) for turn in range(rounds)]).tolist()) == list(range(80))
+    # a step with words added up is the gradient step of each example
+    rng, side, e = np.random.default_rng(1), 4, 1e-3
+    net = lmscore.Network.fresh(side)
+    around, token = rng.integers(0, 17, (30, 2 * lmscore.REACH)), rng.integers(0, 16, 30)
+    flat = net.flat().astype(np.float64)
+    loss = lambda v: lmscore.Network.unflat(v, side).log_probs(around, token).sum()
+    net.log_probs(around, token, 1e-2)
+    moved = (net.flat() - flat) / 1e-2
+    for k in rng.integers(0, 6 * 17 * lmscore.HIDDEN, 40):
+        up, down = flat.copy(), flat.copy()
+        up[k] += e
+        down[k] -= e
+        assert moved[k] == pytest.approx((loss(up) - loss(down)) / (2 * e), abs=0.05)
+
+
 def test_pipeline_on_a_fixture(spark, tmp_path):
     import corpus_pipeline
 

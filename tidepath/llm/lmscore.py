@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import mix, raw_column, split_rows, words_of
+from .tokens import Words, mix, raw_column, split_rows, words_of
 
 #: Classes, and tokens in each: at least LEAST_SIDE, and GROWTH times the fifth root of the number of distinct words, so tokens grow with its power of 2/5.
 LEAST_SIDE, GROWTH = 32, 3.3
 #: Of the tokens one in this many is a bucket of rare words, by hash; the others are words of their own.
 PER_BUCKET = 8
 REACH, HIDDEN = 3, 16
-#: One in this many positions of every document is a training example of a round.
-EVERY, ROUNDS, STEP = 16, 2, 0.15
+#: Every position trains once: one in ROUNDS positions of every document in each round, the next ones in the next round.
+ROUNDS, BATCH, STEP = 2, 2048, 0.15
 BLOCK = 64
 
 
@@ -165,8 +165,9 @@ class Network:
         score = h @ self.classes
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
-        p /= p.sum(axis=1, keepdims=True)
-        out = np.log(p[rows, cls])
+        total = p.sum(axis=1, keepdims=True)
+        p /= total
+        out = score[rows, cls] - np.log(total[:, 0])
         back = np.zeros_like(h)
         if learn:
             p[rows, cls] -= 1
@@ -182,9 +183,10 @@ class Network:
             score = hp @ self.words[c]
             score -= score.max(axis=1, keepdims=True)
             q = np.exp(score)
-            q /= q.sum(axis=1, keepdims=True)
+            total = q.sum(axis=1, keepdims=True)
+            q /= total
             n = np.arange(len(part))
-            out[part] += np.log(q[n, word[part]])
+            out[part] += score[n, word[part]] - np.log(total[:, 0])
             if learn:
                 q[n, word[part]] -= 1
                 back[part] += q @ self.words[c].T
@@ -192,8 +194,12 @@ class Network:
         if learn:
             grad = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
             self.bias -= learn * grad.sum(axis=0)
-            for j in range(2 * REACH):
-                np.subtract.at(self.context[j], around[:, j], learn * grad)
+            # rows of equal position and token are added up before they are taken off
+            flat = (around + np.arange(2 * REACH) * self.context.shape[1]).ravel()
+            order = np.argsort(flat)
+            flat = flat[order]
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            self.context.reshape(-1, HIDDEN)[flat[first]] -= learn * np.add.reduceat(grad[order // (2 * REACH)], first)
         return out
 
 
@@ -211,7 +217,14 @@ def _contexts(tokens: np.ndarray, rows: np.ndarray, which: np.ndarray, outside:
 _PARAMS = pa.schema([("block", pa.int64()), ("weight", pa.float64()), ("v", pa.list_(pa.float32()))])
 
 
-def _train(shared, turn: int):
+def trained(words: Words, turn: int, rounds: int) -> np.ndarray:
+    """The places that train in a round: over all rounds every place is in one of them."""
+    rows = words.rows
+    place = np.arange(len(rows)) - words.first[rows]
+    return np.flatnonzero((place + rows + turn) % rounds == 0)
+
+
+def _train(shared, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = shared.value
         net, seen = Network.unflat(flat, vocabulary.side), 0
@@ -221,11 +234,10 @@ def _train(shared, turn: int):
                 words = words_of(data, offs, lo, hi)
                 h = words.hashes(lower=True)
                 tokens, rows = vocabulary.tokens(h), words.rows
-                place = np.arange(len(h)) - words.first[rows]
-                which = np.flatnonzero((place + rows + lo + 5 * turn) % EVERY == 0)
-                for at in range(0, len(which), 256):
-                    part = which[at : at + 256]
-                    net.log_probs(_contexts(tokens, rows, part, vocabulary.size), tokens[part], STEP / 16)
+                which = trained(words, turn, rounds)
+                for at in range(0, len(which), BATCH):
+                    part = which[at : at + BATCH]
+                    net.log_probs(_contexts(tokens, rows, part, vocabulary.size), tokens[part], STEP * 16 / BATCH)
                     seen += len(part)
         if seen:
             flat = net.flat()
@@ -242,7 +254,7 @@ def train_network(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS
     spark = texts.sparkSession
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, net.flat()))
-        parts = texts.mapInArrow(_train(shared, turn), "block long, weight double, v array<float>")
+        parts = texts.mapInArrow(_train(shared, turn, rounds), "block long, weight double, v array<float>")
         sums = [F.sum(F.col("weight") * F.col("v")[i]).alias(f"s{i}") for i in range(BLOCK)]
         mean = parts.groupBy("block").agg(F.sum("weight").alias("w"), *sums).select("block", *[(F.col(f"s{i}") / F.col("w")).cast("float") for i in range(BLOCK)])
         rows = sorted(tuple(r) for r in mean.collect())
@@ -295,8 +307,8 @@ def score_documents(docs: DataFrame, train_on: DataFrame | None = None, id_col:
     rare word has its bucket's probability times its share n / (N + 1) of the bucket's N counted words; one
     that train_on does not have counts as one. Null and empty texts have no tokens, likelihood 0 and a null
     mean. Repeated rows get equal rows and weigh as often in training. An empty table gives no rows. The
-    vocabulary counts every word of train_on (or docs), and every document gives one in EVERY of its
-    positions to each training round.
+    vocabulary counts every word of train_on (or docs), and every position of every document
+    trains the network in one of the rounds.
     """
     spark = docs.sparkSession
     texts = (docs if train_on is None else train_on).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
