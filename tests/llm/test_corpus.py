@@ -1,5 +1,6 @@
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,33 @@ def test_licenses(spark):
     assert got == [(1, "MIT"), (2, "GPL-3.0-only"), (5, "BSD-2-Clause"), (7, "Apache-2.0,MIT"), (7, "Apache-2.0,MIT")]
 
 
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_wrapped_licenses(spark):
+    s = licenses.SENTENCES
+    wrap = lambda prefix, ids, width: "\n".join(f"{prefix}{x}" for i in ids for x in textwrap.wrap(s[i], width))
+    commented = lambda prefix: "\n".join(f"{prefix} {x}".rstrip() for x in APACHE.split("\n"))
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 X\n\n" + wrap("", (10, 11, 12), 78), "", "s"), (2, "/*\n" + wrap(" * ", (30, 31, 32), 70) + "\n */\nint x;", "", "s"), (3, "#!/bin/sh\n" + wrap("# ", (40, 41, 42, 43), 60).replace("\n", "\r\n"), "", "s")]
+    rows += [(4 + i, commented(c), "", "s") for i, c in enumerate(["", "#", "//", " *", ";;"])]
+    rows += [(9, f"Title\n{s[1]}\nmore text", "", "s"), (10, "a line. Released under\nthe MIT License\nx", "", "s"), (11, "Released. Under the MIT License", "", "s"), (12, "Not released under\nthe MIT License", "", "s")]
+    got = {r.doc_id: (r.rules, r.n_sentences, r.first_sentence, r.last_sentence) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "mit-full", 2: "gpl3-header", 3: "bsd-3", **dict.fromkeys(range(4, 9), "apache-header"), 9: "mit-notice", 10: "mit-notice"}
+    assert got[9][1:] == got[10][1:] == (1, 1, 1) and got[4][1:] == (4, 1, 8)
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("bcdfgh") + rng.choice("aeiou") + str(rng.randrange(300))

@@ -1,7 +1,7 @@
 """Licence scans by sentences and rules, in DataFrame functions only.
 
-Normalised sentences of known licence texts have identifiers. A document's sentences are looked up, and the
-sequence of identifiers found is matched against ordered rules, longest first; what a rule has matched is not
+Normalised sentences of known licence texts have identifiers. A document's sentences are looked up, wrapped over
+lines or not, and the sequence of identifiers found is matched against ordered rules, longest first; what a rule has matched is not
 matched again by a later one.
 """
 
@@ -55,6 +55,10 @@ RULES = [
 ]
 SPLIT = r"(?<=[.!?;:])[\x20\x09-\x0D]+|[\x0A-\x0D]+"
 NOISE = r"[^a-z0-9]+"
+#: In lower-cased text capitals are free for marks: where a sentence ends by a terminal, and by a line end alone.
+END, LINE = "E", "L"
+#: What stands between words of one sentence: a blank, or line ends with lines or comment prefixes between them that have no words.
+BETWEEN = f"(?: |{LINE}[{LINE}{END}]*)"
 
 
 def normalise(sentence: str) -> str:
@@ -83,22 +87,35 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, licenses, rules, n_sentences, first_sentence, last_sentence for each row in which a rule matches; others give no row.
 
     licenses and rules are sorted distinct names joined by commas; positions count a document's sentences from 0.
-    A rule matches where its sentences follow each other in the sequence of known sentences, whatever
-    unknown ones stand between. Null and empty texts match nothing; a repeated row gives its own result.
+    A known sentence may be wrapped over lines, with comment prefixes of signs (*, #, //, ;), and has the
+    position of its first line; at one place the longest known sentence counts. A rule matches where its
+    sentences follow each other in the sequence of known sentences, whatever unknown ones stand between. Null
+    and empty texts match nothing; a repeated row gives its own result.
     """
     pieces, parts = split_known(sentences or SENTENCES)
-    spark = docs.sparkSession
-    lower = F.lower("s")
+    lower = F.lower("text")
     has_anchor = None
     for w in _anchors(pieces):
         has_anchor = lower.contains(w) if has_anchor is None else has_anchor | lower.contains(w)
-    known = spark.createDataFrame([(i, t) for i, t in pieces], "piece int, norm string")
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("row_id", "doc_id", F.posexplode(F.split("text", SPLIT)).alias("pos", "s")).filter(has_anchor)
-    rows = rows.select("row_id", "doc_id", "pos", F.trim(F.regexp_replace(F.lower("s"), NOISE, " ")).alias("norm"))
-    hits = rows.join(F.broadcast(known), "norm")  # a fixed table of a few dozen rows
-    per = hits.groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("found"))
-    left: Column = F.concat(F.lit(","), F.array_join(F.transform("found", lambda x: x["piece"].cast("string")), ",,"), F.lit(","))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(has_anchor)
+    marked = F.regexp_replace(F.regexp_replace(lower, r"(?<=[.!?;:])[\x20\x09-\x0D]+", END), r"[\x0A-\x0D]+", LINE)
+    plain = F.regexp_replace(F.regexp_replace(marked, rf"[^a-z0-9{END}{LINE}]+", " "), f" ?([{END}{LINE}]) ?", "$1")
+    longest = sorted((t.split() for _, t in pieces), key=lambda x: (-len(x), x))
+    any_known = "|".join(BETWEEN.join(x) for x in longest)
+    # the known sentences and, outside of them, the marks, in order
+    steps = F.regexp_extract_all(F.trim(plain), F.lit(f"(?<![a-z0-9 ])(?:{any_known})(?![a-z0-9 ])|[{END}{LINE}]"), F.lit(0))
+    rows = rows.select("doc_id", steps.alias("steps"))
+    is_mark = lambda x: x.isin(END, LINE)
+    rows = rows.select("doc_id", "steps", F.filter("steps", lambda x: ~is_mark(x)).alias("known")).filter(F.size("known") > 0)
+    ids = F.create_map(*[F.lit(x) for i, t in pieces for x in (t, i)])
+    marks = lambda x: F.length(F.regexp_replace(x, f"[^{END}{LINE}]+", ""))
+    leading = F.regexp_extract(F.array_join("steps", ""), f"^[{END}{LINE}]*", 0)
+    # of the marks, those before the last known sentence
+    trailing = F.regexp_extract(F.reverse(F.array_join("steps", "")), f"^[{END}{LINE}]*", 0)
+    last = marks(F.array_join("steps", "")) - F.length(trailing) - marks(F.element_at("known", -1))
+    found = F.transform("known", lambda x: F.element_at(ids, F.regexp_replace(x, f"[{END}{LINE}]+", " ")))
+    per = rows.select("doc_id", found.alias("found"), F.length(leading).alias("first_sentence"), last.alias("last_sentence"))
+    left: Column = F.concat(F.lit(","), F.array_join(F.transform("found", lambda x: x.cast("string")), ",,"), F.lit(","))
     per = per.withColumn("left", left)
     named = []
     for name, spdx, ids in rules or RULES:
@@ -106,4 +123,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         per = per.withColumn(f"r_{len(named)}", F.col("left").contains(pattern)).withColumn("left", F.replace("left", F.lit(pattern), F.lit("|")))
         named.append((name, spdx))
     take = lambda k: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"r_{i}"), F.lit(x[k])) for i, x in enumerate(named)])))), ",")
-    return per.select("doc_id", take(1).alias("licenses"), take(0).alias("rules"), F.size("found").alias("n_sentences"), F.col("found")[0]["pos"].alias("first_sentence"), F.element_at("found", -1)["pos"].alias("last_sentence")).filter("licenses <> ''")
+    return per.select("doc_id", take(1).alias("licenses"), take(0).alias("rules"), F.size("found").alias("n_sentences"), "first_sentence", "last_sentence").filter("licenses <> ''")
