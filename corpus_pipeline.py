@@ -13,7 +13,7 @@ from tidepath.llm.common import stage, table
 from tidepath.llm.decontam import drop_contaminated
 from tidepath.llm.exact import drop_exact_copies
 from tidepath.llm.langid import keep_identified
-from tidepath.llm.mixing import apply_mix, mix_sources
+from tidepath.llm.mixing import mixed
 from tidepath.llm.neardup import drop_near_copies
 
 
@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: copies of documents, epoch by epoch, whose words meet each source's target."""
-    return apply_mix(docs, stage(mix_sources(docs), "mix"))
+    return mixed(docs)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]

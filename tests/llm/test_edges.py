@@ -9,7 +9,7 @@ from tidepath.llm.common import stage
 from tidepath.llm.decontam import drop_contaminated
 from tidepath.llm.exact import drop_exact_copies
 from tidepath.llm.langid import keep_identified
-from tidepath.llm.mixing import apply_mix, mix_sources
+from tidepath.llm.mixing import apply_mix, mix_sources, mixed
 from tidepath.llm.neardup import drop_near_copies
 
 PLAIN = " ".join(f"word{i}" for i in range(60))
@@ -61,3 +61,20 @@ def test_mixing_stage(docs):
     assert all(r[c] == f"own {c}" for r in out.collect() for c in CLASHES)
     words = F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
     assert out.agg(F.sum("taken"), F.sum(words)).first() == mix.agg(F.sum("taken"), F.sum("taken")).first()
+
+
+def test_stages_decide_by_row(spark):
+    near = PLAIN.replace("word30", "other")
+    rows = [(1, PLAIN), (2, near), (2, "clean text of its own"), (None, near), (None, "clean as well"), (3, f"a {LEAK} b"), (3, "clean third"), (None, f"c {LEAK} d")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda frame: sorted(r.text for r in frame.collect())
+    assert texts(drop_near_copies(docs)) == sorted(t for _, t in rows if t != near)
+    assert texts(drop_near_copies(docs.filter("doc_id is null or doc_id = 1"))) == sorted(t for i, t in rows if i in (1, None) and t != near)
+    benchmark = spark.createDataFrame([(1, LEAK)], "item_id long, text string")
+    assert texts(drop_contaminated(docs, benchmark)) == sorted(t for _, t in rows if LEAK not in t)
+    out = mixed(docs)
+    assert out.columns == [*docs.columns, "epoch", "taken"]
+    words = sum(len(t.split()) for _, t in rows)
+    got = out.collect()
+    assert sum(r.taken for r in got) == int(1.5 * words) and all(len(r.text.split()) == r.taken for r in got)
+    assert texts(out.filter("epoch = 0")) == sorted(t for _, t in rows)

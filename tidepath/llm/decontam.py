@@ -82,13 +82,13 @@ def best_overlap(a: np.ndarray, b: np.ndarray, shift: int, least_share: float =
     return len(places), lo + int(places[0]), int(places[-1] - places[0]) + 1
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("overlap", pa.int64()), ("item_words", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64())])
-FOUND = "doc_id long, item_id long, matched long, overlap long, item_words long, doc_start long, item_start long"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("overlap", pa.int64()), ("item_words", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("text_hash", pa.int64())])
+FOUND = "doc_id long, item_id long, matched long, overlap long, item_words long, doc_start long, item_start long, text_hash long"
 
 
 def _verify(least_words: int, least_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # text, item text, doc_id, item_id, shifts
+        for batch in batches:  # text, item text, doc_id, item_id, shifts, text_hash
             hashes = []
             for c in (0, 1):
                 data, offs = raw_column(batch.column(c))
@@ -103,8 +103,8 @@ def _verify(least_words: int, least_share: float):
                 a, b = hashes[0][i], hashes[1][i]
                 matched, start, size, shift = max((best_overlap(a, b, s, least_share) + (s,) for s in shifts), key=lambda x: (x[0], -x[2], -x[3]))
                 if size and matched >= min(least_words, least_share * len(b)):
-                    out.append((batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), matched, size, len(b), start + shift, start))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(7)], schema=_FOUND)
+                    out.append((batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), matched, size, len(b), start + shift, start, batch.column(5)[i].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(8)], schema=_FOUND)
 
     return run
 
@@ -119,7 +119,7 @@ def _bitmap(seeds: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """doc_id, item_id, matched, overlap, item_words, doc_start, item_start of documents that overlap with a benchmark item; clean documents give no row.
 
     Words are runs of letters and digits (bytes above ASCII count as letters), A-Z lower-cased. An overlap is
@@ -127,6 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
     `least_words`, or that share of a shorter item, and at least `least_share` of the overlap. Null and empty
     texts match nothing, nor do items of fewer than 6 words. A repeated row or item gives its own pair. Of the
     overlaps of a pair that have the share, the one with the most equal words is returned.
+    with_hash adds text_hash (xxhash64), with which doc_id tells rows apart.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     items = stage(benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")), "items")
@@ -137,15 +138,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
     near = hits.join(seeds, "seed").select("doc_id", "text_hash", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     near = stage(near.groupBy("doc_id", "text_hash", "item_row").agg(F.collect_list("shift").alias("shifts")), "near")
     same = rows["doc_id"].eqNullSafe(near["doc_id"]) & (rows["text_hash"] == near["text_hash"])
-    pairs = rows.join(near, same).select("text", rows["doc_id"], "item_row", "shifts").join(items, "item_row")
-    return pairs.select("text", "item_text", "doc_id", "item_id", "shifts").mapInArrow(_verify(least_words, least_share), FOUND)
+    pairs = rows.join(near, same).select("text", rows["doc_id"], near["text_hash"], "item_row", "shifts").join(items, "item_row")
+    found = pairs.select("text", "item_text", "doc_id", "item_id", "shifts", "text_hash").mapInArrow(_verify(least_words, least_share), FOUND)
+    return found if with_hash else found.drop("text_hash")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that overlap with a benchmark item, with all their columns, whatever their names.
 
-    doc_id is the key of docs: rows that repeat it go or stay together, and rows without one stay.
+    Each row goes or stays by its own text, whatever rows share its doc_id or have none.
     """
-    name = free_name(docs, "_gone")
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    name, text_hash = free_name(docs, "_gone"), free_name(docs, "_gone_hash")
+    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, with_hash=True).select(F.col("doc_id").alias(name), F.col("text_hash").alias(text_hash)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(text_hash)), "left_anti")

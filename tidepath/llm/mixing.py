@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("weight") * F.col("first_open.level")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, source, size, source_size, target, taken, start: one row per input row.
 
     Every document gets a hash-random key. Documents are range-sorted by source and key, so a hot source
@@ -47,14 +47,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     source. A source with target t takes t // size whole epochs, then documents in order up to the exact
     remainder; the document at the cut gives only its first words. Null texts have size 0 and take 0; null
     sources are one source; repeated rows are cut one after the other. Reruns agree: the key depends on the
-    seed and doc_id alone (rows that repeat a doc_id are ordered by size).
+    seed and doc_id alone (rows that repeat a doc_id are ordered by size). row_col is kept as own_row.
     """
+    own = [] if row_col is None else ["own_row"]
     sized = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+        docs.select(*[F.col(row_col).alias(c) for c in own], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
         .withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
         .repartitionByRange("source", "key", "doc_id", "size")
         .sortWithinPartitions("source", "key", "doc_id", "size")
-        .select("doc_id", "source", "size", "key", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("row_id"))
+        .select(*own, "doc_id", "source", "size", "key", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("row_id"))
     )
     sized = stage(sized, "sized")
     local = Window.partitionBy("source", "pid").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "p.pid", "p.ahead", "t.source_size", "t.target")
     placed = sized.withColumn("local", F.coalesce(F.sum("size").over(local), F.lit(0)))
     placed = placed.alias("d").join(parts.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.pid") == F.col("p.pid")))
-    out = placed.select("d.row_id", "d.doc_id", "d.source", "d.size", "p.source_size", "p.target", (F.col("p.ahead") + F.col("d.local")).alias("start"))
+    out = placed.select(*[f"d.{c}" for c in own], "d.row_id", "d.doc_id", "d.source", "d.size", "p.source_size", "p.target", (F.col("p.ahead") + F.col("d.local")).alias("start"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor("target").cast("long") - whole * F.col("source_size")
     return out.withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start"))))
@@ -84,3 +85,11 @@ def apply_mix(docs: DataFrame, mix: DataFrame, text_col: str = "text", id_col: s
     head = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(taken as int)), ' ')")
     joined = docs.drop("epoch", "taken").join(copies, F.col(id_col) == F.col(own_id))
     return joined.withColumn(text_col, F.when(F.col("taken") < F.col(own_size), head).otherwise(F.col(text_col))).drop(own_id, own_size)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mixed corpus of docs row by row: rows that repeat a doc_id or have none are cut and copied like any other."""
+    row = free_name(docs, "_row")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # written before use, so that numbers stay
+    mix = mix_sources(rows, row_col=row).withColumn("doc_id", F.col("own_row"))
+    return apply_mix(rows, stage(mix, "mix"), id_col=row).drop(row)

@@ -186,13 +186,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text", more_hubs: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text", more_hubs: int = 64, with_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     component_id is the smallest doc_id reachable over links of at least `percent` percent Jaccard similarity of
     k-word shingle sets (A-Z lower-cased). Texts that are null or without words are linked with nothing; shorter
     texts have their whole sequence as one shingle. Repeated rows and texts with equal sets are one class, so a
-    row that repeats the smallest doc_id is kept too. An empty table gives no rows.
+    row that repeats the smallest doc_id is kept too. A null doc_id comes after all others. An empty table gives no
+    rows. with_hash adds text_hash (xxhash64), with which doc_id tells rows apart.
 
     A pair at the threshold shares a band of 5 bins with probability 0.237, one of the 40 bands with
     probability 0.99998, and more above it.
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     signed = texts.mapInArrow(_sign(k), SIGNED).withColumn("row_id", F.monotonically_increasing_id())
     signed = stage(signed, "signed")
     some = signed.filter("n_shingles > 0")
-    classes = stage(some.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "row_id")).alias("rep")).select("d1", "d2", "n_shingles", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.row_id").alias("node")), "classes")
+    classes = stage(some.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("rep")).select("d1", "d2", "n_shingles", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.row_id").alias("node")), "classes")
     heads = some.join(classes.select("node"), F.col("row_id") == F.col("node"), "left_semi")
     nodes = heads.select(F.col("row_id").alias("node"), "doc_id", "text_hash", "n_shingles", "sketch", "bands")
     banded = heads.select(F.col("row_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
@@ -249,16 +250,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     ends = nodes.join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = labels.join(ends, "component").select("node", "component_id")
     placed = classes.join(found, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep_doc").alias("component_id"))
-    slim = signed.select("doc_id", "n_shingles", "d1", "d2")
+    slim = signed.select("doc_id", "text_hash", "n_shingles", "d1", "d2")
     out = slim.join(placed, ["d1", "d2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", *(["text_hash"] if with_hash else []), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_duplicates does not keep: of each group the one with the smallest doc_id stays, with all its columns, whatever their names.
 
-    doc_id is the key of docs: rows that repeat it go or stay together, and rows without one stay.
+    Rows are told apart by doc_id, null or not, and text: rows that repeat both go or stay together.
     """
-    name = free_name(docs, "_gone")
-    gone = near_duplicates(docs, percent, k, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    name, text_hash = free_name(docs, "_gone"), free_name(docs, "_gone_hash")
+    gone = near_duplicates(docs, percent, k, id_col, text_col, with_hash=True).filter("not kept").select(F.col("doc_id").alias(name), F.col("text_hash").alias(text_hash)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(text_hash)), "left_anti")
