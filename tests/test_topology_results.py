@@ -53,11 +53,11 @@ def test_nearest_and_snap(spark):
     nodes = [(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(150)] + [(1.0, 1.0), (1.0, 1.0)]
     m = model(spark, [(0, 1, 1)], n=len(nodes), xy=nodes)
     points = [(i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(200)] + [(900, 1.0, 1.0), (901, 4000.0, -3000.0)]
-    got = {r.point_id: r.node_idx for r in address.nearest(spark.createDataFrame(points, "point_id int, x double, y double"), m.nodes, 0.5).collect()}
+    got = {r.point_id: r.node_idx for r in address.nearest(spark.createDataFrame(points, "point_id int, x double, y double"), m.nodes).collect()}
     for i, x, y in points:
         assert got[i] == min(range(len(nodes)), key=lambda k: ((nodes[k][0] - x) ** 2 + (nodes[k][1] - y) ** 2, k))
     asked = spark.createDataFrame([(1, 1.0, 1.0, None), (2, 900.0, 0.0, 10.0), (3, float("nan"), 0.0, None), (4, 0.0, 0.0, -1.0)], "point_id int, x double, y double, max_snap double")
-    snapped = {r.point_id: (r.node_idx, r.reason_code) for r in address.snap(asked, m.nodes, "XY", 0.5).collect()}
+    snapped = {r.point_id: (r.node_idx, r.reason_code) for r in address.snap(asked, m.nodes, "XY").collect()}
     assert snapped[1] == (150, None) and snapped[2][1] == "ADDRESS_SNAP_EXCEEDED" and snapped[3][1] == "ADDRESS_COORDINATES_INVALID" and snapped[4][1] == "ADDRESS_SNAP_RANGE"
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..staging import stage
 
 #: Default snap distances by strategy, and the widest range a request may ask for.
 SNAP_DEFAULT = {"XY": 1_000.0, "LAT_LON": 250.0}
@@ -51,45 +54,53 @@ def valid_point(strategy: str, x: Column, y: Column) -> Column:
     return geo.finite(x, y) & geo.valid_lat_lon(x, y) if strategy == "LAT_LON" else geo.finite(x, y)
 
 
-def nearest(points: DataFrame, nodes: DataFrame, cell: float, rings: int = 1) -> DataFrame:
+def _boxes(nodes: DataFrame, x0: float, y0: float, size: float, depth: int) -> DataFrame:
+    """level, px, py (the parent's cell), cx, cy, and the least box around the nodes of each cell that has any, on levels 1 to depth of a grid whose cells split in 4 by 4."""
+    split = lambda c, low, n: F.floor((F.col(c) - low) / size * n).cast("long")
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(4**k).alias("n")) for k in range(1, depth + 1)])
+    each = nodes.select("nx", "ny", F.explode(levels).alias("l"))
+    each = each.select(F.col("l.level").alias("level"), "nx", "ny", split("nx", x0, F.col("l.n")).alias("cx"), split("ny", y0, F.col("l.n")).alias("cy"))
+    found = each.groupBy("level", "cx", "cy").agg(F.min("nx").alias("x_lo"), F.max("nx").alias("x_hi"), F.min("ny").alias("y_lo"), F.max("ny").alias("y_hi"))
+    return found.withColumn("px", F.shiftright("cx", 2)).withColumn("py", F.shiftright("cy", 2))
+
+
+def nearest(points: DataFrame, nodes: DataFrame, per_cell: int = 16) -> DataFrame:
     """point_id, node_idx, d2 of the nearest node of each point (point_id, x, y): squared planar distance, ties to the smaller index.
 
-    Both sides are keyed by grid cell. A point looks at its cell and `rings` cells around; the best found is
-    final if it is nearer than the ring's edge. The few points for which it is not are matched in wider rings,
-    doubling each time, until all are settled, so no point is compared with all nodes unless its surroundings are empty.
+    Nodes lie in a grid that is split 4 by 4 on each level, until cells hold about `per_cell` nodes. All points go
+    down the levels together: a point keeps the cells that may hold its nearest node, those whose box is no
+    farther than the far corner of some other cell's box, so it meets few cells on any level, however far away it
+    lies, and is compared with the nodes of its last cells alone. Points that are not finite get no row; without
+    nodes nobody does. Nodes at one place count as one, the smallest index.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    placed = nodes.filter("x is not null").select("node_idx", F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
-    bounds = placed.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    points = points.filter(geo.finite(F.col("x"), F.col("y"))).select("point_id", "x", "y", at("x").alias("px"), at("y").alias("py"))
-    if bounds[0] is None:
-        return points.limit(0).select("point_id", F.lit(0).alias("node_idx"), F.lit(0.0).alias("d2"))
-    settled, open_points = None, points
-    while True:
-        # cells outside of the nodes' bounding box hold nothing
-        span = lambda p, lo, hi: F.sequence(F.greatest(F.col(p) - rings, F.lit(lo)), F.least(F.col(p) + rings, F.lit(hi)))
-        meets = (F.col("px") + rings >= bounds[0]) & (F.col("px") - rings <= bounds[1]) & (F.col("py") + rings >= bounds[2]) & (F.col("py") - rings <= bounds[3])
-        around = open_points.filter(meets).withColumn("cx", F.explode(span("px", bounds[0], bounds[1]))).withColumn("cy", F.explode(span("py", bounds[2], bounds[3])))
-        found = around.join(placed, ["cx", "cy"]).withColumn("d2", geo.squared(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")))
-        best = found.groupBy("point_id", "x", "y", "px", "py").agg(F.min(F.struct("d2", "node_idx")).alias("b"))
-        edge = F.least(F.col("x") - (F.col("px") - rings) * cell, (F.col("px") + rings + 1) * cell - F.col("x"), F.col("y") - (F.col("py") - rings) * cell, (F.col("py") + rings + 1) * cell - F.col("y"))
-        sure = best.filter(F.col("b.d2") < edge * edge).select("point_id", F.col("b.node_idx").alias("node_idx"), F.col("b.d2").alias("d2"))
-        settled = sure if settled is None else settled.unionByName(sure)
-        open_points = open_points.join(sure.select("point_id"), "point_id", "left_anti")
-        if rings > 4 * (bounds[1] - bounds[0] + bounds[3] - bounds[2] + 2) or open_points.isEmpty():
-            rest = best.join(open_points.select("point_id"), "point_id", "left_semi").select("point_id", F.col("b.node_idx").alias("node_idx"), F.col("b.d2").alias("d2"))
-            far = open_points.join(best.select("point_id"), "point_id", "left_anti")
-            if not far.isEmpty():  # points far outside of the box: all nodes are about equally far, so the box itself is one cell
-                one = far.withColumn("all", F.lit(0)).join(placed.withColumn("all", F.lit(0)), "all").withColumn("d2", geo.squared(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")))
-                rest = rest.unionByName(one.groupBy("point_id").agg(F.min(F.struct("d2", "node_idx")).alias("b")).select("point_id", F.col("b.node_idx").alias("node_idx"), F.col("b.d2").alias("d2")))
-            return settled.unionByName(rest)
-        rings *= 2
-
-
-def snap(points: DataFrame, nodes: DataFrame, strategy: str, cell: float) -> DataFrame:
+    placed = nodes.filter(geo.finite(F.col("x"), F.col("y"))).groupBy(F.col("x").alias("nx"), F.col("y").alias("ny")).agg(F.min("node_idx").alias("node_idx"))
+    box = placed.agg(F.count(F.lit(1)).alias("n"), F.min("nx").alias("x0"), F.max("nx").alias("x1"), F.min("ny").alias("y0"), F.max("ny").alias("y1")).first()
+    live = points.filter(geo.finite(F.col("x"), F.col("y"))).select("point_id", "x", "y")
+    if not box.n:
+        return live.limit(0).select("point_id", F.lit(0).alias("node_idx"), F.lit(0.0).alias("d2"))
+    # a little more than the extent, so that the last node lies inside; one cell where all nodes are at one place
+    size = max(box.x1 - box.x0, box.y1 - box.y0) * (1 + 1e-9) or 1.0
+    depth = min(12, max(1, math.ceil(math.log(max(1, box.n / per_cell), 16))))
+    boxes = stage(_boxes(placed, box.x0, box.y0, size, depth), "boxes")
+    front = live.withColumn("px", F.lit(0).cast("long")).withColumn("py", F.lit(0).cast("long"))
+    gap = lambda c, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(c), F.col(c) - F.col(hi))
+    reach = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - F.col(lo)), F.abs(F.col(c) - F.col(hi)))
+    own = Window.partitionBy("point_id", "x", "y")
+    for level in range(1, depth + 1):
+        inside = front.join(boxes.filter(F.col("level") == level).drop("level"), ["px", "py"])
+        dx, dy, fx, fy = gap("x", "x_lo", "x_hi"), gap("y", "y_lo", "y_hi"), reach("x", "x_lo", "x_hi"), reach("y", "y_lo", "y_hi")
+        inside = inside.select("point_id", "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"), (dx * dx + dy * dy).alias("near"), (fx * fx + fy * fy).alias("far"))
+        front = inside.withColumn("least", F.min("far").over(own)).filter("near <= least").select("point_id", "x", "y", "px", "py")
+    cell = lambda c, low: F.floor((F.col(c) - low) / size * 4**depth).cast("long")
+    found = front.join(placed.withColumn("px", cell("nx", box.x0)).withColumn("py", cell("ny", box.y0)), ["px", "py"])
+    best = found.withColumn("d2", geo.squared(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).groupBy("point_id", "x", "y").agg(F.min(F.struct("d2", "node_idx")).alias("b"))
+    return best.select("point_id", F.col("b.node_idx").alias("node_idx"), F.col("b.d2").alias("d2"))
+
+
+def snap(points: DataFrame, nodes: DataFrame, strategy: str) -> DataFrame:
     """point_id, node_idx, distance, max_snap, reason_code for each point (point_id, x, y, max_snap or null): the nearest node by plane, accepted by the strategy's own distance unless that is greater than max_snap."""
     limit = F.coalesce("max_snap", F.lit(SNAP_DEFAULT[strategy]))
-    near = nearest(points.filter(valid_point(strategy, F.col("x"), F.col("y"))), nodes, cell)
+    near = nearest(points.filter(valid_point(strategy, F.col("x"), F.col("y"))), nodes)
     rows = points.join(near, "point_id", "left").join(nodes.select("node_idx", F.col("x").alias("nx"), F.col("y").alias("ny")), "node_idx", "left")
     d = distance(strategy, F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
     reason = (

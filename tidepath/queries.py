@@ -351,7 +351,7 @@ def nearest_node(spark, d):
     at = lambda i: F.col("embedding")[i].cast("double")
     nodes = e.select(F.col("vec_id").cast("int").alias("node_idx"), at(0).alias("x"), at(1).alias("y"))
     points = e.select(F.col("vec_id").alias("point_id"), at(2).alias("x"), at(3).alias("y"))
-    return address.nearest(points, nodes, 0.05).withColumn("d2", F.round("d2", 9))
+    return address.nearest(points, nodes).withColumn("d2", F.round("d2", 9))
 
 
 _HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, greatest(0.0, sin(radians({b}.x - {a}.x) / 2) ** 2 + cos(radians({a}.x)) * cos(radians({b}.x)) * sin(radians({l}) / 2) ** 2))))"
@@ -377,7 +377,7 @@ m AS (SELECT ok.point_id, ok.ok, n.node_idx, {_hav('ok', 'n')} AS dist FROM ok L
 def snap_points(spark, d):
     e = table(spark, d, "embeddings")
     points = e.select(F.col("vec_id").alias("point_id"), (F.col("embedding")[0].cast("double") * 200).alias("x"), (F.col("embedding")[1].cast("double") * 400).alias("y"), F.lit(900_000.0).alias("max_snap"))
-    out = address.snap(points, graphs.nation_nodes(spark, d), "LAT_LON", 20.0)
+    out = address.snap(points, graphs.nation_nodes(spark, d), "LAT_LON")
     return out.select("point_id", "node_idx", F.round("distance", 2).alias("distance"), "reason_code")
 
 
