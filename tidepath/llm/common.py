@@ -1,58 +1,12 @@
-"""Shared plumbing: staged tables in the cluster's shared folder."""
+"""Shared plumbing of this subpackage: staged tables, names and the driver's tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs: dict[str, str] = {}
-_cleaned: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidepath-")
-    return _own_dirs[app]
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; all paths of this application go when Python ends."""
-    app = spark.sparkContext.applicationId
-    root = f"{shared_dir(spark)}/tidepath-stage-{app}"
-    if app not in _cleaned:
-        _cleaned.add(app)
-        atexit.register(_remove, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; the folder is then the cluster's to clean
-        pass
-
-
-def drop_stage(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that no returned DataFrame reads."""
-    _remove(spark, path)
-
+from ..staging import drop_stage, shared_dir, stage, stage_path
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and return a reader of it: lineage ends here, a lost executor costs only the running stage."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_stage", "free_name", "shared_dir", "stage", "stage_path", "table"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
