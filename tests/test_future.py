@@ -107,6 +107,11 @@ def test_bundle_checks(spark):
     m = model(spark, [(0, 1, 1)])
     s = spark.createDataFrame([(1, "a", 0.7), (1, "a", 0.7)], "request_id int, scenario_id string, probability double")
     u = spark.createDataFrame([(1, "a", 5, 0.5, 0, 9), (1, "a", 5, 0.5, 0, 9)], "request_id int, scenario_id string, edge_idx int, speed_factor float, valid_from long, valid_until long")
+    good = scenario.audit("profiles", F.lit(10).cast("long"), F.lit(4), F.lit(0.5), F.lit(0.5), F.lit(0.7), F.col("probability"))
+    bad = scenario.audit("profiles", F.lit(10).cast("long"), F.lit(4), F.lit(1.5), F.lit(0.5), F.lit(0.7), F.col("probability"))
+    audited = s.limit(1).withColumn("probability", F.lit(1.0))
+    assert scenario.check_bundle(audited.withColumn("audit", good), u.limit(0), m.edges).count() == 0
+    assert scenario.check_bundle(audited.withColumn("audit", bad), u.limit(0), m.edges).first().reason_code == "SCENARIO_AUDIT"
     assert {r.reason_code for r in scenario.check_bundle(s, u, m.edges).collect()} == {"SCENARIO_DUPLICATE", "SCENARIO_PROBABILITY_SUM", "SCENARIO_EDGE_UNKNOWN", "SCENARIO_EDGE_DUPLICATE"}
 
 

@@ -10,6 +10,7 @@ from tidepath.operators.search import Budget
 from tidepath.sources.model import ModelError
 
 SLOTS = "edge_idx int, speed_factor float, valid_from long, valid_until long"
+CELLS = "request_id string, source_pos int, target_pos int, source int, target int, departure long"
 REQ = "request_id int, source int, target int, departure long"
 
 
@@ -66,7 +67,7 @@ def test_against_walker(spark):
 
 def test_grid_matrix_and_stats(spark):
     m = model(spark, grid(5, 4))
-    cells = spark.createDataFrame([("r", i, j, s, t, 0) for i, s in enumerate((0, 7, 0)) for j, t in enumerate((19, 0, 19))], "request_id string, source_pos int, target_pos int, source int, target int, departure long")
+    cells = spark.createDataFrame([("r", i, j, s, t, 0) for i, s in enumerate((0, 7, 0)) for j, t in enumerate((19, 0, 19))], CELLS)
     out = search.matrix(cells, m)
     got = {(r.source_pos, r.target_pos): r.cost for r in out.collect()}
     far = lambda a, b: abs(a % 5 - b % 5) + abs(a // 5 - b // 5)
@@ -74,11 +75,56 @@ def test_grid_matrix_and_stats(spark):
     assert search.matrix_stats(out).first().n_cells == 9
 
 
-def test_budgets(spark):
-    m, asked = model(spark, grid(4, 4)), spark.createDataFrame([(1, 0, 15, 0)], REQ)
-    for budget, code in ((Budget(rounds=2), "ROUNDS"), (Budget(labels=3), "LABELS"), (Budget(frontier=1), "FRONTIER")):
-        with pytest.raises(ModelError, match=code):
-            search.routes(asked, m, budget=budget)
+def test_budgets_stop_one_request(spark):
+    m, asked = model(spark, grid(4, 4)), spark.createDataFrame([(1, 0, 15, 0), (2, 0, 1, 0), (3, 5, 5, 0)], REQ)
+    for budget, code in ((Budget(rounds=2), "ROUNDS"), (Budget(labels=12), "LABELS"), (Budget(frontier=3), "FRONTIER")):
+        got = answers(search.routes(asked, m, budget=budget))
+        assert got[1].reason_code == f"SEARCH_{code}_EXCEEDED" and got[1].cost is None and got[1].reachable is None
+        assert (got[2].cost, got[2].reason_code) == (1.0, None) and got[3].cost == 0.0
+    cells = spark.createDataFrame([("r", 0, 0, 0, 15, 0), ("r", 1, 0, 14, 15, 0), ("r", 0, 1, 0, 0, 0)], CELLS)
+    out = {(r.source, r.target): r for r in search.matrix(cells, m, budget=Budget(rounds=3), strategy="PAIRWISE").collect()}
+    assert out[0, 15].reason_code == "SEARCH_ROUNDS_EXCEEDED" and out[14, 15].cost == 1.0 and out[0, 0].cost == 0.0
+
+
+def test_cells_keep_their_reason(spark):
+    m = model(spark, grid(2, 2))
+    cells = spark.createDataFrame([("r", 0, 0, 0, 3, 0, None), ("r", 0, 1, 0, None, 0, "ADDRESS_TARGET_UNKNOWN"), ("r", 0, 2, 0, 3, None, None)], CELLS + ", reason_code string")
+    got = {r.target_pos: r for r in search.matrix(cells, m).collect()}
+    assert got[0].cost == 2.0 and got[1].reason_code == "ADDRESS_TARGET_UNKNOWN" and got[2].reason_code == "REQUEST_INCOMPLETE" and got[1].reachable is None
+
+
+def test_guides_change_no_answer_and_look_at_less(spark):
+    rng = random.Random(5)
+    w, h = 4, 3
+    edges = [(a, b, 10 * rng.uniform(1.0, 1.6), 1) for a, b, _ in grid(w, h)]
+    m = model(spark, edges, profiles=[(1, 127, [1.0 + (i * 7 % 5) / 10 for i in range(24)])], turns=[(0, 2, 5.0), (4, 9, INF)], xy=[(10 * (i % w), 10 * (i // w)) for i in range(w * h)])
+    over = spark.createDataFrame([(7, 0.5, 0, 10**6), (11, 0.0, 0, 10**6)], SLOTS)
+    asked = spark.createDataFrame([(i, rng.randrange(w * h), rng.randrange(w * h), 3000 * i) for i in range(4)], REQ)
+    plain, effort = search.find_routes(asked, m, over)
+    want, n = sorted(map(tuple, plain.collect())), effort.agg(F.sum("n_labels")).first()[0]
+    for guide, backward in ((heuristics.guide_for(m, "EUCLIDEAN"), False), (None, True)):
+        got, less = search.find_routes(asked, m, over, guide=guide, backward=backward)
+        assert sorted(map(tuple, got.collect())) == want
+        assert less.agg(F.sum("n_labels")).first()[0] < n
+    cells = spark.createDataFrame([("r", i, j, s, t, 0) for i, s in enumerate((0, 7)) for j, t in enumerate((11, 4))], CELLS)
+    want = sorted(map(str, search.matrix(cells, m, over).collect()))
+    assert sorted(map(str, search.matrix(cells, m, over, guide=heuristics.guide_for(m, "LANDMARK", heuristics.landmark_table(m, 2))).collect())) == want
+    assert sorted(map(str, search.matrix(cells, m, over, backward=True, strategy="PAIRWISE").collect())) == want
+
+
+def test_guide_checks(spark, tmp_path):
+    m = model(spark, grid(2, 2), xy=[(0, 0), (200, 0), (0, 1), (1, 1)])
+    assert heuristics.guide_for(m, "NONE") is None and heuristics.guide_for(m, "EUCLIDEAN") is not None
+    with pytest.raises(ModelError, match="COORDINATES"):
+        heuristics.guide_for(m, "SPHERICAL")
+    with pytest.raises(ModelError, match="TYPE"):
+        heuristics.guide_for(m, "OTHER")
+    path = f"file://{tmp_path}/landmarks"
+    table = heuristics.landmark_table(m, 2)
+    heuristics.save_landmarks(table, m, path)
+    assert sorted(map(tuple, heuristics.load_landmarks(spark, path, m).collect())) == sorted((r.landmark_pos, r.landmark, r.node_idx, r.fwd, r.bwd) for r in table.collect())
+    with pytest.raises(ModelError, match="LANDMARK"):
+        heuristics.load_landmarks(spark, path, model(spark, grid(3, 2)))
 
 
 def test_replay_reasons(spark):

@@ -5,9 +5,10 @@ from helpers import grid, model
 from pyspark.sql import functions as F
 
 from tidepath.operators import address, graph, results, topology
+from tidepath.operators.heuristics import Guide
 from tidepath.operators.topology import ChangeSet, Publisher
 from tidepath.plans import config
-from tidepath.plans.engine import Engine
+from tidepath.plans.engine import Engine, Hooks
 from tidepath.sources import model as models
 from tidepath.sources.model import Metadata, Model, ModelError
 
@@ -152,3 +153,47 @@ def test_engine_end_to_end(spark):
     assert not e.apply(block, 0).routes(asked).filter("request_id = 1").first().reachable
     cells = e.matrix(spark.createDataFrame([(1, ["N0", "N3"], ["N3", "N3"], 0)], "request_id int, source_ids array<string>, target_ids array<string>, departure long"))
     assert {(r.source_pos, r.target_pos): r.cost for r in cells.collect()} == {(0, 0): 3.0, (0, 1): 3.0, (1, 0): 0.0, (1, 1): 0.0}
+
+
+END = "struct<id:string,x:double,y:double,strategy:string>"
+
+
+def test_engine_by_coordinates(spark):
+    m = model(spark, grid(4, 3), xy=[(10.0 * (i % 4), 10.0 * (i // 4)) for i in range(12)])
+    e = Engine(m)
+    point = lambda x, y, hint=None: (None, x, y, hint)
+    name = lambda i: (i, None, None, None)
+    rows = [(1, point(1.0, 1.0), point(29.0, 19.0), None), (2, name("N0"), name("N11"), None), (3, name("N0"), point(29.0, 19.0), None), (4, point(1.0, 1.0, "LAT_LON"), point(2.0, 2.0), None), (5, point(4.0, 4.0), point(29.0, 19.0), 2.0), (6, ("N0", 1.0, 1.0, None), name("N1"), None), (7, name(None), name("N1"), None), (8, name("N0"), name("gone"), None), (9, point(float("nan"), 0.0), point(1.0, 1.0), None)]
+    asked = spark.createDataFrame([(*r, 0) for r in rows], f"request_id int, source_end {END}, target_end {END}, max_snap double, departure long")
+    got = {r.request_id: (r.cost, r.reason_code) for r in e.routes(asked).collect()}
+    assert got[1] == got[2] == (5.0, None)
+    assert {k: v[1] for k, v in got.items() if k > 2} == {3: "ADDRESS_MIXED", 4: "ADDRESS_STRATEGY", 5: "ADDRESS_SNAP_EXCEEDED", 6: "ADDRESS_MIXED", 7: "ADDRESS_SOURCE_REQUIRED", 8: "ADDRESS_TARGET_UNKNOWN", 9: "ADDRESS_COORDINATES_INVALID"}
+    assert Engine(m, mixed=True).route_requests(asked.filter("request_id = 3")).first().reason_code is None
+    cells = spark.createDataFrame([(1, [point(1.0, 1.0), name("N3")], [point(29.0, 19.0)], None, 0)], f"request_id int, source_ends array<{END}>, target_ends array<{END}>, max_snap double, departure long")
+    assert {(r.source_pos, r.cost, r.reason_code) for r in e.matrix(cells).collect()} == {(0, 5.0, None), (1, None, "ADDRESS_MIXED")}
+
+
+def test_engine_strategies_and_execution(spark):
+    m = model(spark, [(0, 1, 4), (1, 2, 4), (0, 2, 10)], turns=[(0, 1, 5)], profiles=[(1, 127, [1.0] * 8 + [2.0] + [1.0] * 15)], xy=[(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)])
+    catalog = config.Catalog()
+    catalog.transition["FREE"] = config.TransitionStrategy(lambda p, has: F.when(p == float("inf"), p).otherwise(F.lit(0.0)), True)
+    catalog.temporal["EIGHT"] = config.TemporalStrategy(lambda sec, zone: F.lit(8 * 3600), False)
+    catalog.coordinates["WIDE"] = config.CoordinateStrategy(lambda a, b, c, d: F.abs(a - c) / 100, lambda x, y: x >= 0, 1.0)
+    catalog.heuristics["ZERO"] = lambda model, landmarks: Guide(model.nodes.select("node_idx", F.lit(0).alias("info")), lambda a, b: F.lit(0.0))
+    asked = spark.createDataFrame([(1, "N0", "N2", 0)], "request_id int, source_id string, target_id string, departure long")
+    cost = lambda **kw: Engine(m, config.bind(m.meta, catalog, **kw)).routes(asked).first().cost
+    assert (cost(), cost(transition="FREE")) == (10.0, 8.0)
+    # at eight all costs double, and a little less eight seconds later
+    assert cost(transition="FREE", temporal="EIGHT", algorithm="A_STAR", heuristic="ZERO") == pytest.approx(16.0, abs=0.05)
+    wide = Engine(m, config.bind(m.meta, catalog, addressing="WIDE"))
+    far = spark.createDataFrame([(1, (None, 90.0, 0.0, None), (None, -1.0, 0.0, None), 0)], f"request_id int, source_end {END}, target_end {END}, departure long")
+    assert wide.route_requests(far).first().reason_code == "ADDRESS_COORDINATES_INVALID"
+    fast = Engine(m, config.bind(m.meta, catalog)).with_execution("BIDIRECTIONAL", "EUCLIDEAN")
+    assert fast.routes(asked).first().cost == 10.0 and fast.bound.algorithm == "BIDIRECTIONAL"
+    with pytest.raises(ModelError):
+        fast.with_execution("DIJKSTRA", "EUCLIDEAN")
+    hooked = Engine(m, hooks=Hooks(plan_routes=lambda requests, *_, **how: requests.withColumn("how", F.lit(",".join(sorted(how))))))
+    assert hooked.routes(asked).first().how == "backward,budget,guide"
+    kept = Engine(m).keep(spark.createDataFrame([(1, 2)], "k int, v int"), "k", 5, 10, 1000)
+    ids = spark.createDataFrame([("1",), ("2",)], "result_id string")
+    assert kept.kept_results(ids, 6).count() == 1 and kept.kept_results(ids, 15).count() == 0 and Engine(m).kept_results(ids, 6).count() == 0

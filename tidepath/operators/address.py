@@ -97,21 +97,86 @@ def nearest(points: DataFrame, nodes: DataFrame, per_cell: int = 16) -> DataFram
     return best.select("point_id", F.col("b.node_idx").alias("node_idx"), F.col("b.d2").alias("d2"))
 
 
-def snap(points: DataFrame, nodes: DataFrame, strategy: str) -> DataFrame:
-    """point_id, node_idx, distance, max_snap, reason_code for each point (point_id, x, y, max_snap or null): the nearest node by plane, accepted by the strategy's own distance unless that is greater than max_snap."""
-    limit = F.coalesce("max_snap", F.lit(SNAP_DEFAULT[strategy]))
-    near = nearest(points.filter(valid_point(strategy, F.col("x"), F.col("y"))), nodes)
+def snap(points: DataFrame, nodes: DataFrame, strategy: str, own=None) -> DataFrame:
+    """point_id, node_idx, distance, max_snap, reason_code for each point (point_id, x, y, max_snap or null): the nearest node by plane, accepted by the strategy's own distance unless that is greater than max_snap.
+
+    own: a strategy of the user, with distance, valid and default_snap, in place of the built-in one of that name.
+    """
+    good = own.valid(F.col("x"), F.col("y")) if own else valid_point(strategy, F.col("x"), F.col("y"))
+    good = F.coalesce(good, F.lit(False)) & geo.finite(F.col("x"), F.col("y"))
+    limit = F.coalesce("max_snap", F.lit(float(own.default_snap if own else SNAP_DEFAULT[strategy])))
+    near = nearest(points.filter(good), nodes)
     rows = points.join(near, "point_id", "left").join(nodes.select("node_idx", F.col("x").alias("nx"), F.col("y").alias("ny")), "node_idx", "left")
-    d = distance(strategy, F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
+    ends = [F.col(c) for c in ("x", "y", "nx", "ny")]
+    d = own.distance(*ends) if own else distance(strategy, *ends)
     reason = (
-        F.when(~valid_point(strategy, F.col("x"), F.col("y")), "ADDRESS_COORDINATES_INVALID")
+        F.when(~good, "ADDRESS_COORDINATES_INVALID")
         .when(~limit.between(0.0, SNAP_MOST), "ADDRESS_SNAP_RANGE")
         .when(F.col("node_idx").isNull(), "ADDRESS_NO_NODE")
+        .when(~geo.finite(d) | (d < 0), "ADDRESS_COORDINATES_INVALID")
         .when(d > limit, "ADDRESS_SNAP_EXCEEDED")
     )
     return rows.select("point_id", F.when(reason.isNull(), F.col("node_idx")).alias("node_idx"), d.alias("distance"), limit.alias("max_snap"), reason.alias("reason_code"))
 
 
+#: An endpoint: an id, or coordinates with an optional hint of the strategy they are meant for.
+END = "struct<id:string,x:double,y:double,strategy:string>"
+
+
+def resolve_ends(ends: DataFrame, nodes: DataFrame, strategy: str, own=None) -> DataFrame:
+    """end_key, node, reason_code once per distinct endpoint: rows of `end` (END) and max_snap; each is looked up or snapped once, however many requests name it.
+
+    An endpoint has either an id or coordinates: with both it is mixed, with neither it is missing. A hint must
+    name the strategy that is bound.
+    """
+    e = lambda c: F.col(f"end.{c}")
+    zero = lambda c: F.when(e(c) == 0, F.lit(0.0)).otherwise(e(c))
+    one = stage(ends.select(F.trim(e("id")).alias("id"), zero("x").alias("x"), zero("y").alias("y"), e("strategy").alias("strategy"), "max_snap").distinct().withColumn("end_key", _end_key()), "ends")
+    has_id, has_xy = F.coalesce(F.col("id") != "", F.lit(False)), F.col("x").isNotNull() | F.col("y").isNotNull()
+    snapped = snap(one.filter(~has_id & has_xy).select(F.col("end_key").alias("point_id"), "x", "y", "max_snap"), nodes, strategy, own)
+    rows = one.join(nodes.select(F.col("node_id").alias("id"), F.col("node_idx").alias("by_id")), "id", "left").join(snapped.select(F.col("point_id").alias("end_key"), "node_idx", F.col("reason_code").alias("why")), "end_key", "left")
+    reason = (
+        F.when(has_id & has_xy, "ADDRESS_MIXED")
+        .when(~has_id & ~has_xy, "ADDRESS_REQUIRED")
+        .when(has_xy & (F.coalesce("strategy", F.lit(strategy)) != strategy), "ADDRESS_STRATEGY")
+        .when(has_id & F.col("by_id").isNull(), "ADDRESS_UNKNOWN")
+        .otherwise(F.col("why"))
+    )
+    return rows.select("end_key", F.when(reason.isNull(), F.coalesce("by_id", "node_idx")).alias("node"), reason.alias("reason_code"))
+
+
+def _end_key() -> Column:
+    return F.to_json(F.struct("id", "x", "y", "strategy", "max_snap"))
+
+
+def _keyed(rows: DataFrame, col: str, key: str) -> DataFrame:
+    e = lambda c: F.col(f"{col}.{c}")
+    zero = lambda c: F.when(e(c) == 0, F.lit(0.0)).otherwise(e(c)).alias(c)
+    return rows.withColumn(key, F.to_json(F.struct(F.trim(e("id")).alias("id"), zero("x"), zero("y"), e("strategy").alias("strategy"), "max_snap")))
+
+
+def _sided(reason: Column, side: str) -> Column:
+    """Reasons that speak of the source or the target."""
+    return F.when(reason == "ADDRESS_REQUIRED", f"ADDRESS_{side}_REQUIRED").when(reason == "ADDRESS_UNKNOWN", f"ADDRESS_{side}_UNKNOWN").otherwise(reason)
+
+
+def resolve_pairs(pairs: DataFrame, nodes: DataFrame, strategy: str, own=None, mixed: bool = False) -> DataFrame:
+    """pairs (source_end and target_end as END, max_snap, departure, and other columns) with source, target and reason_code in place of the ends.
+
+    Unless mixed, a pair of an id and coordinates is refused.
+    """
+    rows = _keyed(_keyed(pairs, "source_end", "source_key"), "target_end", "target_key")
+    ends = rows.select(F.col("source_end").alias("end"), "max_snap").unionByName(rows.select(F.col("target_end").alias("end"), "max_snap"))
+    found = stage(resolve_ends(ends, nodes, strategy, own), "found")
+    side = lambda name: found.select(F.col("end_key").alias(f"{name}_key"), F.col("node").alias(name), F.col("reason_code").alias(f"{name}_why"))
+    rows = rows.join(side("source"), "source_key").join(side("target"), "target_key")
+    kind = lambda name: F.col(f"{name}_end.x").isNotNull()
+    reason = F.coalesce(_sided(F.col("source_why"), "SOURCE"), _sided(F.col("target_why"), "TARGET"), F.when(F.col("departure").isNull(), "REQUEST_DEPARTURE_REQUIRED"))
+    if not mixed:
+        reason = F.coalesce(reason, F.when(kind("source") != kind("target"), "ADDRESS_MIXED"))
+    return rows.withColumn("reason_code", reason).drop("source_end", "target_end", "source_key", "target_key", "source_why", "target_why", "max_snap")
+
+
 def distinct_endpoints(endpoints: DataFrame) -> DataFrame:
     """endpoint_key and its columns, once per distinct endpoint (kind, id, x, y, strategy); -0.0 and 0.0 are one coordinate, ids are trimmed."""
     zero = lambda c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c))

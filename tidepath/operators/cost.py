@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,17 +18,23 @@ INF = float("inf")
 
 @dataclass(frozen=True)
 class CostOptions:
-    """interpolate: between bucket starts, else the bucket's value. calendar: local days of the model's zone and day masks, else UTC and every day. turns: EDGE_BASED applies finite penalties, NODE_BASED only forbids."""
+    """interpolate: between bucket starts, else the bucket's value. calendar: local days of the model's zone and day masks, else UTC and every day. turns: EDGE_BASED applies finite penalties, NODE_BASED only forbids.
+
+    A user's strategies go before the built-in ones: offset(sec, zone) gives seconds added to UTC (calendar then says
+    whether day masks count), turn(penalty, has_predecessor) what a turn adds.
+    """
 
     interpolate: bool = True
     calendar: bool = False
     turns: str = "EDGE_BASED"
+    offset: Callable[[Column, str], Column] | None = None
+    turn: Callable[[Column, Column], Column] | None = None
 
 
 def multiplier(tick: Column, meta: Metadata, opts: CostOptions, buckets: Column | None = None, day_mask: Column | None = None) -> Column:
     buckets, day_mask = F.col("buckets") if buckets is None else buckets, F.col("day_mask") if day_mask is None else day_mask
     sec = timefn.epoch_seconds(tick, meta.unit)
-    offset = timefn.zone_offset(sec, meta.zone) if opts.calendar else F.lit(0)
+    offset = opts.offset(sec, meta.zone) if opts.offset else timefn.zone_offset(sec, meta.zone) if opts.calendar else F.lit(0)
     day = timefn.day_of_week(sec, offset)
     if opts.interpolate:
         share = timefn.fractional_bucket(sec, meta.bucket_seconds, offset)
@@ -38,6 +45,8 @@ def multiplier(tick: Column, meta: Metadata, opts: CostOptions, buckets: Column
 
 def turn_cost(penalty: Column, has_predecessor: Column, opts: CostOptions) -> Column:
     """What a turn adds: nothing without a predecessor or a row; infinite if forbidden; finite penalties only if EDGE_BASED."""
+    if opts.turn is not None:
+        return opts.turn(penalty, has_predecessor).cast("float")
     known = F.coalesce(penalty, F.lit(0.0).cast("float"))
     if opts.turns == "NODE_BASED":
         known = F.when(known == INF, F.lit(INF)).otherwise(F.lit(0.0)).cast("float")
@@ -62,16 +71,23 @@ def priced_edges(model: Model, overlay: DataFrame | None = None) -> DataFrame:
     return out.join(overlay.select("edge_idx", "speed_factor", "valid_from", "valid_until"), "edge_idx", "left")
 
 
-def with_cost(df: DataFrame, tick: str, meta: Metadata, opts: CostOptions, predecessor: str | None) -> DataFrame:
-    """Adds multiplier, live_state, live_penalty, travel_cost, turn_penalty and cost to rows of priced edges with a tick and, if there may be turns, predecessor and penalty."""
+def cost_columns(tick: str, meta: Metadata, opts: CostOptions, predecessor: str | None) -> list[dict[str, Column]]:
+    """The columns of with_cost in the steps they are added in; a loop builds them once."""
     t = F.col(tick)
     entry = (F.col("speed_factor"), F.col("valid_from"), F.col("valid_until"), t)
     turn = F.lit(0.0).cast("float") if predecessor is None else turn_cost(F.col("penalty"), F.col(predecessor).isNotNull(), opts)
-    return (
-        df.withColumns({"multiplier": multiplier(t, meta, opts), "live_state": live.state(*entry), "live_penalty": live.penalty(*entry), "turn_penalty": turn})
-        .withColumn("travel_cost", travel_cost(F.col("base_weight"), F.col("multiplier"), F.col("live_penalty")))
-        .withColumn("cost", with_turn(F.col("travel_cost"), F.col("turn_penalty")))
-    )
+    return [
+        {"multiplier": multiplier(t, meta, opts), "live_state": live.state(*entry), "live_penalty": live.penalty(*entry), "turn_penalty": turn},
+        {"travel_cost": travel_cost(F.col("base_weight"), F.col("multiplier"), F.col("live_penalty"))},
+        {"cost": with_turn(F.col("travel_cost"), F.col("turn_penalty"))},
+    ]
+
+
+def with_cost(df: DataFrame, tick: str, meta: Metadata, opts: CostOptions, predecessor: str | None) -> DataFrame:
+    """Adds multiplier, live_state, live_penalty, travel_cost, turn_penalty and cost to rows of priced edges with a tick and, if there may be turns, predecessor and penalty."""
+    for step in cost_columns(tick, meta, opts, predecessor):
+        df = df.withColumns(step)
+    return df
 
 
 def explain(requests: DataFrame, model: Model, overlay: DataFrame | None = None, opts: CostOptions = CostOptions()) -> DataFrame:

@@ -19,11 +19,20 @@ OVERLAP, COST_DELTA = 0.85, 1.0
 INF = float("inf")
 
 
-def percentiles(samples: DataFrame, by: list[str], value: str, quantiles: dict[str, float], weight: str = "probability") -> DataFrame:
-    """Weighted percentiles per group: the first value whose cumulative weight + 1e-6 reaches the quantile of the total."""
+def _running(samples: DataFrame, by: list[str], value: str, weight: str = "probability") -> DataFrame:
+    """samples with _cum, the weight of a group's samples up to each in order of value, and _all, the weight of its group."""
     order = Window.partitionBy(*by).orderBy(value, "scenario_id")
-    run = samples.withColumn("_cum", F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum(weight).over(Window.partitionBy(*by)))
-    return run.groupBy(*by).agg(*[F.min(F.when(F.col("_cum") + P_TOLERANCE >= q * F.col("_all"), F.col(value))).alias(name) for name, q in quantiles.items()])
+    return samples.withColumn("_cum", F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum(weight).over(Window.partitionBy(*by)))
+
+
+def _percentile(q: float, value: str) -> Column:
+    """Aggregate of rows of _running: the first value whose cumulative weight + 1e-6 reaches the quantile of the total."""
+    return F.min(F.when(F.col("_cum") + P_TOLERANCE >= q * F.col("_all"), F.col(value)))
+
+
+def percentiles(samples: DataFrame, by: list[str], value: str, quantiles: dict[str, float], weight: str = "probability") -> DataFrame:
+    """Weighted percentiles per group."""
+    return _running(samples, by, value, weight).groupBy(*by).agg(*[_percentile(q, value).alias(name) for name, q in quantiles.items()])
 
 
 def expected(cost: Column, probability: Column) -> Column:
@@ -32,13 +41,16 @@ def expected(cost: Column, probability: Column) -> Column:
 
 
 def matrix_cells(results: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Per cell over scenarios: reach_probability, expected, p50, p90, least and most cost, first and last arrival (the last long and infinity where some scenario does not reach)."""
+    """Per cell over scenarios: reach_probability, expected, p50, p90, least and most cost, first and last arrival (the last long and infinity where some scenario does not reach), reason_code. A cell that some scenario could not answer has a reason and nulls."""
     by = ["request_id", "source_pos", "target_pos", "source", "target"]
     rows = results.join(scenarios.select("request_id", "scenario_id", "probability"), ["request_id", "scenario_id"])
     p, c = F.col("probability"), F.col("cost")
     arrival = F.when(F.col("reachable"), F.col("arrival")).otherwise(F.lit(FAR))
-    base = rows.groupBy(*by).agg(F.sum(F.when(F.col("reachable"), p).otherwise(0.0)).alias("reach_probability"), expected(c, p).alias("expected_cost"), F.min("cost").alias("min_cost"), F.max("cost").alias("max_cost"), F.min(arrival).alias("min_arrival"), F.max(arrival).alias("max_arrival"))
-    return base.join(percentiles(rows, by, "cost", {"p50_cost": 0.5, "p90_cost": 0.9}), by)
+    whole = lambda x, name: F.when(F.max("reason_code").isNull(), x).alias(name)
+    return _running(rows, by, "cost").groupBy(*by).agg(
+        F.max("reason_code").alias("reason_code"), whole(F.sum(F.when(F.col("reachable"), p).otherwise(0.0)), "reach_probability"), whole(expected(c, p), "expected_cost"), whole(F.min("cost"), "min_cost"), whole(F.max("cost"), "max_cost"),
+        whole(F.min(arrival), "min_arrival"), whole(F.max(arrival), "max_arrival"), whole(_percentile(0.5, "cost"), "p50_cost"), whole(_percentile(0.9, "cost"), "p90_cost"),
+    )
 
 
 def future_matrix(cells: DataFrame, model: Model, scenarios: DataFrame, overlay: DataFrame | None, opts: CostOptions = CostOptions()) -> DataFrame:
@@ -105,11 +117,9 @@ def aggregate_routes(requests: DataFrame, model: Model, scenarios: DataFrame, ov
     left = heuristics.distances(asked.select(F.col("target").alias("landmark")).distinct(), heuristics.bound_weights(model), backward=True).select(F.col("source").alias("target"), "node", F.col("distance").alias("ahead"))
     left = stage(left, "ahead")
     sample = lambda x, cost, arrival: F.struct(x["scenario_id"].alias("scenario_id"), x["p"].alias("p"), cost.alias("cost"), arrival.alias("arrival"))
-    front = asked.select("request_id", "target", F.col("source").alias("node"), F.lit(None).cast("int").alias("from_edge"), F.transform("scenarios", lambda x: sample(x, F.lit(0.0).cast("float"), F.col("departure"))).alias("v"), F.array().cast("array<int>").alias("path"))
+    front = asked.select("request_id", "target", F.lit(0).alias("round"), F.col("source").alias("node"), F.lit(None).cast("int").alias("from_edge"), F.transform("scenarios", lambda x: sample(x, F.lit(0.0).cast("float"), F.col("departure"))).alias("v"), F.array().cast("array<int>").alias("path"))
     seen = reached = None
-    number = 0
     while True:
-        number += 1
         rows = front.join(edges.withColumnRenamed("origin", "node"), "node").join(model.turns.select("from_edge", F.col("to_edge").alias("edge_idx"), "penalty"), ["from_edge", "edge_idx"], "left")
         turn = costs.turn_cost(F.col("penalty"), F.col("from_edge").isNotNull(), opts)
 
@@ -121,7 +131,7 @@ def aggregate_routes(requests: DataFrame, model: Model, scenarios: DataFrame, ov
             dead = (x["cost"] == INF) | (c == INF)
             return sample(x, F.when(dead, F.lit(INF)).otherwise(x["cost"].cast("double") + c.cast("double")).cast("float"), F.when(dead, F.lit(FAR)).otherwise(_advance(x["arrival"], c)))
 
-        fresh = rows.select("request_id", "target", "edge_idx", F.col("dest").alias("node"), F.transform("v", extend).alias("v"), F.concat("path", F.array("edge_idx")).alias("path"), F.lit(number).alias("round"))
+        fresh = rows.select("request_id", "target", "edge_idx", F.col("dest").alias("node"), F.transform("v", extend).alias("v"), F.concat("path", F.array("edge_idx")).alias("path"), (F.col("round") + 1).alias("round"))
         fresh = fresh.filter(F.exists("v", lambda x: x["cost"] < INF)).withColumn("objective", _objective(kind, F.col("v")))
         fresh = fresh.join(left, ["target", "node"])
         bound = known
@@ -133,17 +143,20 @@ def aggregate_routes(requests: DataFrame, model: Model, scenarios: DataFrame, ov
             # sums of floats along a route may round below the bound in doubles, by less than a millionth
             fresh = fresh.join(least, "request_id", "left").filter(F.col("bound").isNull() | (F.col("objective") + F.col("ahead") * (1 - 1e-6) <= F.col("bound") + COST_TOLERANCE)).drop("bound")
         fresh = fresh.drop("ahead")
-        every = stage(fresh if seen is None else seen.unionByName(fresh), "vectors")
+        fresh = stage(fresh, "vectors")
+        every = fresh if seen is None else seen.unionByName(fresh)
+        # only new vectors are judged: an old one that a new one beats has gone on already
         other = every.select("request_id", "edge_idx", F.col("v").alias("w"), F.col("path").alias("other_path"))
         no_worse = F.forall(F.zip_with("v", "w", lambda a, b: (b["cost"] <= a["cost"]) & (b["arrival"] <= a["arrival"])), lambda t: t)
         better = F.exists(F.zip_with("v", "w", lambda a, b: (b["cost"] < a["cost"]) | (b["arrival"] < a["arrival"])), lambda t: t)
-        seen = stage(every.alias("a").join(other.alias("b"), (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.edge_idx") == F.col("b.edge_idx")) & no_worse & better, "left_anti"), "vectors")
-        new = seen.filter((F.col("round") == number) & (F.size(F.array_distinct("path")) == F.size("path")))
+        kept = stage(fresh.alias("a").join(other.alias("b"), (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.edge_idx") == F.col("b.edge_idx")) & no_worse & better, "left_anti"), "vectors")
+        seen = kept if seen is None else seen.unionByName(kept)
+        new = kept.filter(F.size(F.array_distinct("path")) == F.size("path"))
         hits = new.filter("node = target")
         reached = stage(hits if reached is None else reached.unionByName(hits), "goals")
         if new.isEmpty():
             break
-        front = new.filter("node <> target").select("request_id", "target", "node", F.col("edge_idx").alias("from_edge"), "v", "path")
+        front = new.filter("node <> target").select("request_id", "target", "round", "node", F.col("edge_idx").alias("from_edge"), "v", "path")
     top = reached.withColumn("max_arrival", F.array_max(F.transform("v", lambda x: x["arrival"]))).withColumn("last", F.element_at("path", -1))
     floor = top.join(top.groupBy("request_id").agg(F.min("objective").alias("least")), "request_id").filter((F.col("objective") <= F.col("least") + COST_TOLERANCE) | (F.col("objective") == F.col("least")))
     w = Window.partitionBy("request_id").orderBy("max_arrival", "last", "path")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -49,6 +52,58 @@ def geometry_bounds(pairs: DataFrame, model: Model, kind: str) -> DataFrame:
     return rows.select("source", "target", F.when(geo.finite(raw), raw).otherwise(F.lit(0.0)).alias("bound"))
 
 
+@dataclass(frozen=True)
+class Guide:
+    """Lower bounds for a search: nodes has node_idx and info, and bound(info of a node, info of a target) is a Column that no route between them costs less than; null is no bound."""
+
+    nodes: DataFrame
+    bound: Callable[[Column, Column], Column]
+
+
+def check_coordinates(model: Model, kind: str) -> None:
+    """Raises unless all coordinates are finite and, for SPHERICAL, degrees in range; a model without any has no geometry either."""
+    good = geo.finite(F.col("x"), F.col("y"))
+    if kind == "SPHERICAL":
+        good = good & geo.valid_lat_lon(F.col("x"), F.col("y"))
+    one = model.nodes.agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good")).first()
+    if one.good != one.n or not one.n:
+        raise ModelError("HEURISTIC_COORDINATES", f"{one.n - one.good} of {one.n} nodes")
+
+
+def geometry_guide(model: Model, kind: str) -> Guide:
+    """Distance times the least cost per unit of distance."""
+    check_coordinates(model, kind)
+    ratio = geometry_ratio(model, kind).first().ratio or 0.0
+    bound = lambda a, b: _distance(kind)(a["x"], a["y"], b["x"], b["y"]) * ratio
+    return Guide(model.nodes.select("node_idx", F.struct("x", "y").alias("info")), bound)
+
+
+def landmark_guide(model: Model, table: DataFrame | None = None, count: int = 8) -> Guide:
+    """Triangle bounds over the landmarks of a table, or of `count` that are computed here."""
+    table = landmark_table(model, count) if table is None else table
+    n = table.agg(F.max("landmark_pos")).first()[0] or 0
+    side = lambda c: F.array(*[F.max(F.when(F.col("landmark_pos") == i, F.col(c))) for i in range(n + 1)])
+    nodes = stage(table.groupBy("node_idx").agg(F.struct(side("fwd").alias("f"), side("bwd").alias("b")).alias("info")), "landmark-nodes")
+    zero = F.lit(0.0)
+
+    def bound(a: Column, b: Column) -> Column:
+        each = [x for i in range(n + 1) for x in (F.coalesce(b["f"][i] - a["f"][i], zero), F.coalesce(a["b"][i] - b["b"][i], zero))]
+        return F.greatest(zero, *each)
+
+    return Guide(nodes, bound)
+
+
+def guide_for(model: Model, kind: str, landmarks: DataFrame | None = None) -> Guide | None:
+    """The guide of a heuristic's name: NONE, EUCLIDEAN, SPHERICAL or LANDMARK."""
+    if kind == "NONE":
+        return None
+    if kind == "LANDMARK":
+        return landmark_guide(model, landmarks)
+    if kind in ("EUCLIDEAN", "SPHERICAL"):
+        return geometry_guide(model, kind)
+    raise ModelError("HEURISTIC_TYPE", kind)
+
+
 def choose_landmarks(model: Model, count: int, seed: str = "landmarks") -> DataFrame:
     """landmark_pos, landmark: nodes with edges first, then by a hash of the seed and the node."""
     out = model.edges.groupBy(F.col("origin").alias("node_idx")).agg(F.count(F.lit(1)).alias("degree"))
@@ -103,3 +158,15 @@ def check_compatible(table_meta: dict, model: Model) -> None:
     for key in ("n_nodes", "n_edges", "signature"):
         if table_meta[key] != now[key]:
             raise ModelError("LANDMARK_INCOMPATIBLE", f"{key}: {table_meta[key]} and {now[key]}")
+
+
+def save_landmarks(table: DataFrame, model: Model, path: str) -> None:
+    """Write a landmark table with the signature of the graph it belongs to."""
+    table.select("landmark_pos", "landmark", "node_idx", "fwd", "bwd").write.parquet(f"{path}/landmarks")
+    signature(model).coalesce(1).write.parquet(f"{path}/signature")
+
+
+def load_landmarks(spark: SparkSession, path: str, model: Model) -> DataFrame:
+    """The landmark table below a path; raises if it was computed for another graph."""
+    check_compatible(spark.read.parquet(f"{path}/signature").first().asDict(), model)
+    return spark.read.schema("landmark_pos int, landmark int, node_idx int, fwd double, bwd double").parquet(f"{path}/landmarks")

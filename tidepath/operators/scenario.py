@@ -120,20 +120,21 @@ def recurring_edges(requests: DataFrame, model: Model, opts: CostOptions, overri
 
 
 def recurring_summary(requests: DataFrame, model: Model, opts: CostOptions, overrides: DataFrame | None = None, c: Calibration = DEFAULT) -> DataFrame:
-    """request_id, n_edges, confidence, freshness, n_observations, peak_ratio, incident, probability, n_updates, confidence_tag: one row per request with a signal."""
+    """request_id, n_edges, confidence, freshness, n_observations, peak_ratio, incident, probability, n_updates, confidence_tag, observed_at, horizon_weight, base_probability: one row per request with a signal."""
     ticks = timefn.TICKS[model.meta.unit]
     edges = recurring_edges(requests, model, opts, overrides, c).join(requests.select("request_id", "departure", "horizon"), "request_id")
     s = F.col("severity")
     fresh = freshness(F.col("departure"), F.col("last_observed_at"), c, ticks)
     total = edges.groupBy("request_id", "departure", "horizon").agg(
-        F.count(F.lit(1)).alias("n_edges"), F.sum(s).alias("s"), F.sum(s * F.col("confidence").cast("double")).alias("sc"), F.sum(s * fresh).alias("sf"), F.sum("observation_count").alias("n_observations"),
+        F.count(F.lit(1)).alias("n_edges"), F.sum(s).alias("s"), F.sum(s * F.col("confidence").cast("double")).alias("sc"), F.sum(s * fresh).alias("sf"), F.sum("observation_count").alias("n_observations"), F.max("last_observed_at").alias("observed_at"),
         F.max(F.greatest("peak_ratio", F.lit(c.peak_ratio))).alias("peak_ratio"), F.sum(F.when(F.col("flavor") == "RECURRING_INCIDENT", s).otherwise(-s)).alias("lean"),
     )
     some = F.col("s") > 0
     rows = total.withColumns({"confidence": F.when(some, F.col("sc") / F.col("s")).otherwise(F.lit(0.0)), "freshness": F.when(some, F.col("sf") / F.col("s")).otherwise(F.lit(c.fresh_floor)), "incident": F.col("lean") > 0})
     base = peak_probability(F.col("confidence"), F.col("n_observations"), F.col("peak_ratio"), c)
-    scaled = clamp(base * recency_scale(F.col("freshness"), horizon_weight(F.col("horizon"), c, ticks), c), c.least, c.most)
-    return rows.select("request_id", "n_edges", "confidence", "freshness", "n_observations", "peak_ratio", "incident", scaled.alias("probability"), F.least(update_budget(F.col("confidence"), F.col("n_observations"), c).cast("long"), F.col("n_edges")).alias("n_updates"), confidence_tag(F.col("confidence")).alias("confidence_tag"))
+    far = horizon_weight(F.col("horizon"), c, ticks)
+    scaled = clamp(base * recency_scale(F.col("freshness"), far, c), c.least, c.most)
+    return rows.select("request_id", "n_edges", "confidence", "freshness", "n_observations", "peak_ratio", "incident", scaled.alias("probability"), F.least(update_budget(F.col("confidence"), F.col("n_observations"), c).cast("long"), F.col("n_edges")).alias("n_updates"), confidence_tag(F.col("confidence")).alias("confidence_tag"), "observed_at", far.alias("horizon_weight"), base.alias("base_probability"))
 
 
 def recurring_updates(requests: DataFrame, model: Model, opts: CostOptions, overrides: DataFrame | None = None, c: Calibration = DEFAULT) -> DataFrame:
@@ -193,8 +194,21 @@ def merge_tags(a: Column, b: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))), lambda t: t.isNotNull() & (F.trim(t) != ""))
 
 
+#: How a probability came about; observed_at and evidence_age are both null where nothing was observed.
+AUDIT = "struct<policy:string,evidence:string,observed_at:bigint,evidence_age:bigint,freshness:double,horizon:double,base:double,adjusted:double,structural:double>"
+POLICY = "recency-1"
+
+
+def audit(evidence: str, departure: Column, observed: Column, fresh: Column, far: Column, base: Column, adjusted: Column, structural: Column | None = None) -> Column:
+    """The audit record of a scenario's probability, as AUDIT."""
+    observed = observed.cast("long")
+    age = F.when(observed.isNotNull(), F.greatest(F.lit(0).cast("long"), departure - observed))
+    parts = {"policy": F.lit(POLICY), "evidence": F.lit(evidence), "observed_at": observed, "evidence_age": age, "freshness": fresh, "horizon": far, "base": base, "adjusted": adjusted, "structural": F.lit(None) if structural is None else structural}
+    return F.struct(*[x.alias(k) for k, x in parts.items()]).cast(AUDIT)
+
+
 def resolve_bundle(requests: DataFrame, model: Model, opts: CostOptions, quarantine_updates: DataFrame | None = None, observed_at: int | None = None, overrides: DataFrame | None = None, c: Calibration = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Scenarios (request_id, scenario_id, probability, tags) and their updates (request_id, scenario_id, and update columns).
+    """Scenarios (request_id, scenario_id, probability, tags, audit) and their updates (request_id, scenario_id, and update columns).
 
     Without active failures: baseline, and a recurring peak where profiles show one. With them (quarantine_updates
     has rows: edge_idx, speed_factor, valid_from, valid_until): incident_persists, and clearing_fast, in which
@@ -207,22 +221,27 @@ def resolve_bundle(requests: DataFrame, model: Model, opts: CostOptions, quarant
         summary = recurring_summary(requests, model, opts, overrides, c)
         peaks = recurring_updates(requests, model, opts, overrides, c).drop("severity")
     else:
-        summary = requests.select("request_id", F.lit(0.0).alias("probability"), F.lit(False).alias("incident"), F.lit("").alias("confidence_tag")).limit(0)
+        summary = requests.select("request_id", F.lit(0.0).alias("probability"), F.lit(False).alias("incident"), F.lit("").alias("confidence_tag"), F.lit(None).cast("long").alias("observed_at"), F.lit(0.0).alias("freshness"), F.lit(0.0).alias("horizon_weight"), F.lit(0.0).alias("base_probability")).limit(0)
         peaks = requests.select("request_id", F.lit(0).alias("edge_idx"), F.lit(0.0).cast("float").alias("speed_factor"), F.lit(0).cast("long").alias("valid_from"), F.lit(0).cast("long").alias("valid_until")).limit(0)
-    known = requests.select("request_id", "departure", "horizon").join(summary.select("request_id", F.col("probability").alias("p"), "incident", "confidence_tag"), "request_id", "left")
+    known = requests.select("request_id", "departure", "horizon").join(summary.select("request_id", F.col("probability").alias("p"), "incident", "confidence_tag", "observed_at", "freshness", "horizon_weight", "base_probability"), "request_id", "left")
     name = F.when(F.col("incident"), "recurring_incident_peak").otherwise("periodic_peak")
     if quarantine_updates is None or quarantine_updates.isEmpty():
-        base = known.select("request_id", F.lit("baseline").alias("scenario_id"), (1 - F.coalesce("p", F.lit(0.0))).alias("probability"), F.when(F.col("p").isNull(), empty_tags).otherwise(F.array("confidence_tag")).alias("tags"))
-        peak = known.filter("p is not null").select("request_id", name.alias("scenario_id"), F.col("p").alias("probability"), F.array(name, "confidence_tag").alias("tags"))
+        about = lambda base, adjusted: F.when(F.col("p").isNotNull(), audit("profiles", F.col("departure"), F.col("observed_at"), F.col("freshness"), F.col("horizon_weight"), base, adjusted)).alias("audit")
+        base = known.select("request_id", F.lit("baseline").alias("scenario_id"), (1 - F.coalesce("p", F.lit(0.0))).alias("probability"), F.when(F.col("p").isNull(), empty_tags).otherwise(F.array("confidence_tag")).alias("tags"), about(1 - F.col("base_probability"), 1 - F.col("p")))
+        peak = known.filter("p is not null").select("request_id", name.alias("scenario_id"), F.col("p").alias("probability"), F.array(name, "confidence_tag").alias("tags"), about(F.col("base_probability"), F.col("p")))
         return base.unionByName(peak), peaks.join(peak.select("request_id", "scenario_id"), "request_id")
     fresh = freshness(F.col("departure"), F.lit(observed_at).cast("long"), c, ticks)
     far = horizon_weight(F.col("horizon"), c, ticks)
-    prior = structural_prior(quarantine_updates.select(F.lit(0).alias("group_id"), "edge_idx", F.lit(1.0).alias("weight")), model, F.lit(1.0), F.lit(1.0), c).select(F.col("adjustment").alias("prior"))
+    prior = structural_prior(quarantine_updates.select(F.lit(0).alias("group_id"), "edge_idx", F.lit(1.0).alias("weight")), model, F.lit(1.0), F.lit(1.0), c).select(F.col("adjustment").alias("prior"), F.array("degree_tag", "homophily_tag").alias("structure"))
     rows = known.join(F.broadcast(prior), F.lit(True), "left")  # one row
     persists = incident_probability(fresh, far, F.coalesce("prior", F.lit(0.0)) * fresh * far, c)
-    tags = F.when(F.col("p").isNull(), empty_tags).otherwise(F.array(name, "confidence_tag"))
-    kinds = rows.select("request_id", "departure", "horizon", persists.alias("q"), tags.alias("tags"))
-    scenarios = kinds.select("request_id", F.lit("incident_persists").alias("scenario_id"), F.col("q").alias("probability"), "tags").unionByName(kinds.select("request_id", F.lit("clearing_fast").alias("scenario_id"), (1 - F.col("q")).alias("probability"), merge_tags(F.col("tags"), F.array(F.lit("recovery_expected"))).alias("tags")))
+    tags = merge_tags(F.when(F.col("p").isNull(), empty_tags).otherwise(F.array(name, "confidence_tag")), F.col("structure"))
+    structural = F.coalesce("prior", F.lit(0.0)) * fresh * far
+    about = lambda adjusted, base: audit("quarantine", F.col("departure"), F.lit(observed_at), fresh, far, base, adjusted, structural)
+    start = F.lit(c.incident_base)
+    kinds = rows.select("request_id", "departure", "horizon", persists.alias("q"), tags.alias("tags"), about(persists, start).alias("stays"), about(1 - persists, 1 - start).alias("clears"))
+    scenarios = kinds.select("request_id", F.lit("incident_persists").alias("scenario_id"), F.col("q").alias("probability"), "tags", F.col("stays").alias("audit"))
+    scenarios = scenarios.unionByName(kinds.select("request_id", F.lit("clearing_fast").alias("scenario_id"), (1 - F.col("q")).alias("probability"), merge_tags(F.col("tags"), F.array(F.lit("recovery_expected"))).alias("tags"), F.col("clears").alias("audit")))
     clear = F.col("departure") + F.greatest(F.lit(1).cast("long"), F.floor(F.col("horizon") / 2))
     held = requests.select("request_id", "departure", "horizon", F.lit(0).alias("_k")).join(quarantine_updates.withColumn("_k", F.lit(0)), "_k").drop("_k")
     stays = held.select("request_id", F.lit("incident_persists").alias("scenario_id"), "edge_idx", "speed_factor", "valid_from", "valid_until")
@@ -241,13 +260,21 @@ def bundle_id(scenarios: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def check_bundle(scenarios: DataFrame, updates: DataFrame, edges: DataFrame) -> DataFrame:
-    """request_id, reason_code of bundles that break a rule: unique scenarios, probabilities that sum to 1 within 1e-6, known edges, one update per edge and scenario."""
+    """request_id, reason_code of bundles that break a rule: unique scenarios, probabilities that sum to 1 within 1e-6, known edges, one update per edge and scenario, audits (if scenarios have them) in range that agree with their probabilities."""
     row = lambda df, code: df.select("request_id", F.lit(code).alias("reason_code"))
+    audits = scenarios.limit(0)
+    if "audit" in scenarios.columns:
+        share = lambda c: F.coalesce(F.col(f"audit.{c}").between(0.0, 1.0), F.lit(False))
+        named = lambda c: F.coalesce(F.trim(f"audit.{c}") != "", F.lit(False))
+        fine = named("policy") & named("evidence") & share("freshness") & share("horizon") & share("base") & share("adjusted") & (F.col("audit.adjusted") > 0)
+        fine = fine & (F.abs(F.col("audit.adjusted") - F.col("probability")) <= 1e-6) & (F.col("audit.observed_at").isNull() == F.col("audit.evidence_age").isNull()) & (F.coalesce("audit.evidence_age", F.lit(0)) >= 0)
+        audits = scenarios.filter(F.col("audit").isNotNull() & ~fine)
     return (
         row(scenarios.groupBy("request_id", "scenario_id").count().filter("count > 1"), "SCENARIO_DUPLICATE")
         .unionByName(row(scenarios.groupBy("request_id").agg(F.sum("probability").alias("p")).filter("abs(p - 1) > 1e-6"), "SCENARIO_PROBABILITY_SUM"))
         .unionByName(row(scenarios.filter("probability is null or isnan(probability) or probability < 0 or probability > 1"), "SCENARIO_PROBABILITY"))
         .unionByName(row(updates.join(edges.select("edge_idx"), "edge_idx", "left_anti"), "SCENARIO_EDGE_UNKNOWN"))
+        .unionByName(row(audits, "SCENARIO_AUDIT"))
         .unionByName(row(updates.groupBy("request_id", "scenario_id", "edge_idx").count().filter("count > 1"), "SCENARIO_EDGE_DUPLICATE"))
         .distinct()
     )

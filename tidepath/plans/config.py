@@ -7,12 +7,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, timefn
+from ..operators import heuristics
 from ..operators.cost import CostOptions, turn_cost
-from ..sources.model import Metadata, ModelError
+from ..operators.heuristics import Guide
+from ..sources.model import Metadata, Model, ModelError
 
 #: Codes that rows or exceptions carry, by the part of a request or option they speak of.
 REASONS = {
@@ -43,11 +45,13 @@ REASONS = {
     "SEARCH_LABELS_EXCEEDED": "a search passed its bound on labels",
     "SEARCH_FRONTIER_EXCEEDED": "a search passed its bound on frontier rows",
     "HEURISTIC_TYPE": "no such lower bound",
+    "HEURISTIC_COORDINATES": "a node has no coordinates, or none that the lower bound can use",
     "LANDMARK_INCOMPATIBLE": "landmarks belong to another graph",
     "OVERLAY_EDGE_ID": "an update has no valid edge",
     "OVERLAY_EDGE_UNKNOWN": "an update's edge does not exist",
     "OVERLAY_SPEED_FACTOR": "a speed factor is not in [0, 1]",
     "OVERLAY_INTERVAL": "an update ends before it starts",
+    "SCENARIO_AUDIT": "an audit record is out of range or differs from its scenario's probability",
     "SCENARIO_DUPLICATE": "two scenarios have one id",
     "SCENARIO_PROBABILITY": "a probability is not in [0, 1]",
     "SCENARIO_PROBABILITY_SUM": "probabilities do not sum to 1",
@@ -105,6 +109,12 @@ class Catalog:
         "EDGE_BASED": TransitionStrategy(lambda p, has: turn_cost(p, has, CostOptions(turns="EDGE_BASED")), True),
         "NODE_BASED": TransitionStrategy(lambda p, has: turn_cost(p, has, CostOptions(turns="NODE_BASED")), False),
     })
+    #: Names of zone policies; any other name is taken for a zone.
+    zones: dict[str, Callable[[Metadata], str]] = field(default_factory=lambda: {"MODEL": lambda meta: meta.zone})
+    #: Lower bounds by name: a function of the model (and of landmarks, if the engine has some) that gives a guide, or None.
+    heuristics: dict[str, Callable[[Model, DataFrame | None], Guide | None]] = field(default_factory=lambda: {
+        kind: lambda model, landmarks, kind=kind: heuristics.guide_for(model, kind, landmarks) for kind in ("NONE", "EUCLIDEAN", "SPHERICAL", "LANDMARK")
+    })
 
 
 @dataclass(frozen=True)
@@ -118,17 +128,29 @@ class Bound:
     algorithm: str
     heuristic: str
     bundle_hash: str
+    catalog: Catalog = field(default_factory=Catalog, compare=False, repr=False)
 
     def cost_options(self, interpolate: bool = True) -> CostOptions:
-        return CostOptions(interpolate, self.temporal == "CALENDAR", self.transition)
+        """Costs as the bound strategies say, built-in or the user's own."""
+        time, turn = self.catalog.temporal[self.temporal], self.catalog.transition[self.transition]
+        return CostOptions(interpolate, time.day_mask_aware, self.transition, time.offset, turn.turn)
+
+    @property
+    def coordinates(self) -> CoordinateStrategy:
+        return self.catalog.coordinates[self.addressing]
+
+    def guide(self, model: Model, landmarks: DataFrame | None = None) -> Guide | None:
+        return self.catalog.heuristics[self.heuristic](model, landmarks)
 
 
+#: DIJKSTRA relaxes all labels, A_STAR is led by the heuristic, BIDIRECTIONAL also by a search back from the targets.
+ALGORITHMS = ("DIJKSTRA", "A_STAR", "BIDIRECTIONAL")
 # Named bundles of addressing, temporal and transition.
 BUNDLES = {"DEFAULT": ("XY", "LINEAR", "EDGE_BASED"), "GEODETIC_CALENDAR": ("LAT_LON", "CALENDAR", "EDGE_BASED"), "NODE_LINEAR": ("XY", "LINEAR", "NODE_BASED")}
 
 
 def bind(meta: Metadata, catalog: Catalog | None = None, bundle: str | None = None, addressing: str | None = None, temporal: str | None = None, transition: str | None = None, zone_policy: str | None = None, algorithm: str | None = "DIJKSTRA", heuristic: str | None = "NONE", probe: Callable[[str, TransitionStrategy], bool] | None = None) -> Bound:
-    """Check all options together; a bundle and single options exclude each other. zone_policy: MODEL takes the model's zone, else a zone's name."""
+    """Check all options together; a bundle and single options exclude each other. zone_policy: a policy of the catalog (MODEL takes the model's zone), else a zone's name."""
     catalog = catalog or Catalog()
     given = [x for x in (addressing, temporal, transition) if x is not None]
     if bundle is not None and given:
@@ -142,7 +164,7 @@ def bind(meta: Metadata, catalog: Catalog | None = None, bundle: str | None = No
     aware = catalog.temporal[names[1]].day_mask_aware
     if aware != (zone_policy is not None):
         raise ModelError("CONFIG_TIMEZONE", f"{names[1]} with {zone_policy}")
-    zone = meta.zone if zone_policy == "MODEL" else zone_policy
+    zone = catalog.zones[zone_policy](meta) if zone_policy in catalog.zones else zone_policy
     if zone is not None:
         try:
             ZoneInfo(zone)
@@ -150,14 +172,14 @@ def bind(meta: Metadata, catalog: Catalog | None = None, bundle: str | None = No
             raise ModelError("CONFIG_TIMEZONE", zone) from e
     if algorithm is None or heuristic is None:
         raise ModelError("CONFIG_REQUIRED", "algorithm and heuristic")
-    if algorithm not in ("DIJKSTRA", "A_STAR") or heuristic not in ("NONE", "EUCLIDEAN", "SPHERICAL", "LANDMARK"):
+    if algorithm not in ALGORITHMS or heuristic not in catalog.heuristics:
         raise ModelError("CONFIG_UNKNOWN", f"{algorithm}, {heuristic}")
     if algorithm == "DIJKSTRA" and heuristic != "NONE":
         raise ModelError("CONFIG_CONFLICT", "DIJKSTRA takes no heuristic")
     if probe is not None and not probe(names[2], catalog.transition[names[2]]):
         raise ModelError("CONFIG_PROBE", names[2])
     text = "\n".join([*names, zone or "-", algorithm, heuristic, meta.unit, str(meta.bucket_seconds)])
-    return Bound(*names, zone, algorithm, heuristic, hashlib.sha256(text.encode()).hexdigest())
+    return Bound(*names, zone, algorithm, heuristic, hashlib.sha256(text.encode()).hexdigest(), catalog)
 
 
 def probe_transition(spark) -> Callable[[str, TransitionStrategy], bool]:

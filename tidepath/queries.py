@@ -12,6 +12,8 @@ from . import sql as S
 from .functions import geo, patternfn, profilefn, timefn
 from .operators import address, cost, future, graph, heuristics, overlay, results, scenario, search, topology
 from .operators.cost import CostOptions
+from .plans import config
+from .plans.engine import Engine, Hooks
 from .sources import graphs, model
 from .sources.graphs import table
 from .sources.model import Metadata, Model
@@ -93,11 +95,15 @@ def graph_summary(spark, d):
     return rounded(graph.summary(graphs.nation_nodes(spark, d), graphs.trade_edges(spark, d)), "least_weight", "most_weight", "mean_degree")
 
 
-@query(S.with_(S.NODES, S.EDGES, S.PROFILES, body="""SELECT 'error' AS level, 'UNKNOWN_PROFILE' AS code, edge_id AS subject FROM edges WHERE base_weight >= 1800 AND profile_id NOT IN (SELECT profile_id FROM profiles)
-UNION ALL SELECT 'warning', 'ISOLATED_NODE', node_id FROM nodes WHERE node_idx NOT IN (SELECT origin FROM edges WHERE base_weight >= 1800 UNION SELECT dest FROM edges WHERE base_weight >= 1800)"""))
+@query(S.with_(S.EDGES, S.PROFILES, body="""SELECT 'error' AS level, 'UNKNOWN_PROFILE' AS code, edge_id AS subject FROM edges WHERE profile_id <> 0 AND profile_id NOT IN (SELECT profile_id FROM profiles WHERE day_mask <> 127)
+UNION ALL SELECT 'warning', 'ISOLATED_NODE', s_name FROM supplier"""))
 def model_diagnostics(spark, d):
+    """The whole trade network with suppliers added as nodes that no edge touches, and the profiles of every day left out."""
     m = graphs.trade_model(spark, d)
-    return model.diagnose(Model(m.nodes, m.edges.filter("base_weight >= 1800"), m.profiles, m.turns))
+    more = table(spark, d, "supplier").select((F.col("s_suppkey") + 24).cast("int").alias("node_idx"), F.col("s_name").alias("node_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    lowest = F.broadcast(table(spark, d, "supplier").agg(F.min("s_suppkey").cast("int").alias("low")))  # one row
+    more = more.join(lowest, F.lit(True)).withColumn("node_idx", F.col("node_idx") - F.col("low") + 1).drop("low")
+    return model.diagnose(Model(m.nodes.unionByName(more), m.edges, m.profiles.filter("day_mask <> 127"), m.turns))
 
 
 @query("SELECT user_id, (row_number() OVER (ORDER BY first_seen, user_id) - 1)::INT AS user_idx FROM (SELECT user_id, min(event_id) AS first_seen FROM events GROUP BY user_id)")
@@ -381,6 +387,30 @@ def snap_points(spark, d):
     return out.select("point_id", "node_idx", F.round("distance", 2).alias("distance"), "reason_code")
 
 
+@query("SELECT c_custkey AS request_id, c_nationkey::INT AS node_idx, n_name AS node_id FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def external_ids(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").cast("int").alias("node_idx"))
+    return address.to_external(asked, graphs.nation_nodes(spark, d), "node_idx", "node_id")
+
+
+@query(S.with_(S.NODES, """c AS (SELECT c_custkey AS request_id, n_name, c_custkey % 5 AS k, (c_custkey * 31 % 1200) / 10.0::DOUBLE - 60 AS x, (c_custkey * 17 % 3000) / 10.0::DOUBLE - 150 AS y FROM customer JOIN nation ON n_nationkey = c_nationkey),
+p AS (SELECT DISTINCT x, y FROM c), b AS (SELECT p.x, p.y, arg_min(node_idx, ((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y), node_idx)) AS node_idx, sqrt(min((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y))) AS dist FROM p, nodes n GROUP BY ALL)""", body="""SELECT request_id, CASE WHEN k IN (0, 1) AND dist <= 20 THEN b.node_idx WHEN k IN (2, 4) THEN (SELECT node_idx FROM nodes WHERE node_id = n_name) END AS source, CASE WHEN k <> 4 THEN 3 END AS target,
+CASE WHEN k = 3 THEN 'ADDRESS_MIXED' WHEN k = 4 THEN 'ADDRESS_TARGET_REQUIRED' WHEN k = 0 AND dist <= 20 THEN 'ADDRESS_MIXED' WHEN k IN (0, 1) AND dist > 20 THEN 'ADDRESS_SNAP_EXCEEDED' END AS reason_code FROM c LEFT JOIN b USING (x, y)"""))
+def resolve_ends(spark, d):
+    """Customers' requests by coordinates and ids: from a point to an id (refused as mixed), from a point to a point, from an id to an id, from both at once, and to nowhere."""
+    k, key = F.col("c_custkey") % 5, F.col("c_custkey")
+    c = table(spark, d, "customer").join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    x, y = (key * 31 % 1200) / 10.0 - 60, (key * 17 % 3000) / 10.0 - 150
+    end = lambda i, a, b, hint: F.struct(i.cast("string").alias("id"), a.cast("double").alias("x"), b.cast("double").alias("y"), hint.cast("string").alias("strategy"))
+    none = F.lit(None)
+    source = F.when(k.isin(0, 1), end(none, x, y, F.lit("XY"))).when(k == 3, end(F.col("n_name"), x, y, none)).otherwise(end(F.concat(F.lit(" "), "n_name"), none, none, none))
+    three = graphs.nation_nodes(spark, d).filter("node_idx = 3").select(F.col("node_id").alias("three"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    target = F.when(k.isin(0, 2, 3), end(F.col("three"), none, none, none)).when(k == 1, end(none, F.col("tx"), F.col("ty"), none)).otherwise(end(F.lit(" "), none, none, none))
+    asked = c.join(F.broadcast(three), F.lit(True)).select(key.alias("request_id"), source.alias("source_end"), target.alias("target_end"), F.lit(20.0).alias("max_snap"), F.lit(NOW).cast("long").alias("departure"))
+    out = address.resolve_pairs(asked, graphs.nation_nodes(spark, d), "XY")
+    return out.select("request_id", "source", "target", "reason_code")
+
+
 @query("SELECT count(*) AS n_endpoints, count(DISTINCT (kind, id)) AS n_distinct FROM (SELECT 'ID' AS kind, n_name AS id FROM customer JOIN nation ON c_nationkey = n_nationkey)")
 def endpoint_dedup(spark, d):
     ends = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("ID").alias("kind"), F.concat(F.lit(" "), "n_name").alias("id"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit("XY").alias("strategy"))
@@ -406,6 +436,38 @@ def route_search(spark, d):
     return out.select("request_id", "reachable", F.round(F.col("cost").cast("double"), 4).alias("cost"), "arrival", F.array_join("edge_path", ",").alias("edge_path"))
 
 
+def _guided(spark, d, algorithm, heuristic):
+    """route_search by an engine with another algorithm: other work, the same answers."""
+    m = small_model(spark, d)
+    engine = Engine(m, config.bind(m.meta, algorithm=algorithm, heuristic=heuristic), stage(live_overlay(spark, d, m.edges), "overlay"), hooks=Hooks(route_requests=lambda _, asked: asked))
+    out = engine.routes(route_requests(spark, d))
+    return out.select("request_id", "reachable", F.round(F.col("cost").cast("double"), 4).alias("cost"), "arrival", F.array_join("edge_path", ",").alias("edge_path"))
+
+
+@query(ORACLES["route_search"])
+def route_a_star(spark, d):
+    return _guided(spark, d, "A_STAR", "EUCLIDEAN")
+
+
+@query(ORACLES["route_search"])
+def route_bidirectional(spark, d):
+    return _guided(spark, d, "BIDIRECTIONAL", "NONE")
+
+
+_HALF = S.LIVE.replace("ELSE 5::FLOAT END AS penalty", "ELSE 2.5::FLOAT END AS penalty")
+
+
+@query(S.with_(_HALF, S.search(_REQ, LEVELS, True, False), "b AS (SELECT q, arg_min({'c': cost, 'a': arrival, 'p': path}, (cost, arrival, path)) AS b FROM r GROUP BY q)", "steps AS (SELECT q, unnest(b.p) AS edge_idx, unnest(range(len(b.p))) AS pos FROM b)", "ways AS (SELECT q, string_agg(dest::VARCHAR, ',' ORDER BY pos) AS way FROM steps JOIN edges USING (edge_idx) GROUP BY q)", body="""SELECT req.q AS request_id, round(coalesce(b.b.c, 'inf'::FLOAT)::DOUBLE, 4) AS cost, coalesce(b.b.a, departure) AS arrival, coalesce(source || ',' || way, '') AS node_path FROM req LEFT JOIN b USING (q) LEFT JOIN ways USING (q)"""))
+def user_turn_routes(spark, d):
+    """Routes by node under a user's transition strategy, which halves finite penalties."""
+    m, catalog = small_model(spark, d), config.Catalog()
+    half = lambda p, has: F.when(has & p.isNotNull(), F.when(p == float("inf"), p).otherwise(p / 2)).otherwise(F.lit(0.0))
+    catalog.transition["HALF"] = config.TransitionStrategy(half, True)
+    engine = Engine(m, config.bind(m.meta, catalog, transition="HALF"), stage(live_overlay(spark, d, m.edges), "overlay"), hooks=Hooks(route_requests=lambda _, asked: asked))
+    out = engine.routes(route_requests(spark, d))
+    return out.select("request_id", F.round(F.col("cost").cast("double"), 4).alias("cost"), "arrival", F.array_join("node_path", ",").alias("node_path"))
+
+
 _CELLS = f"SELECT s.n_nationkey AS q, '' AS sc, s.n_nationkey::INT AS source, t.n_nationkey::INT AS target, {NOW}::BIGINT AS departure FROM nation s, nation t"
 
 
@@ -424,6 +486,21 @@ def matrix_search(spark, d):
     return out.select("source", "target", "reachable", F.round(F.col("cost").cast("double"), 4).alias("cost"), "arrival")
 
 
+_PAIRS = f"SELECT s.n_nationkey * 100 + t.n_nationkey AS q, '' AS sc, s.n_nationkey::INT AS source, t.n_nationkey::INT AS target, {NOW}::BIGINT AS departure FROM nation s JOIN nation t ON t.n_regionkey = (s.n_regionkey + 1) % 5"
+
+
+@query(S.with_(S.LIVE, S.search(_PAIRS, LEVELS, True, False), "b AS (SELECT q, arg_min({'c': cost, 'a': arrival}, (cost, arrival)) AS b FROM r GROUP BY q)", body="""SELECT req.source, req.target, req.source = req.target OR b.b IS NOT NULL AS reachable, CASE WHEN req.source = req.target THEN 0 ELSE round(coalesce(b.b.c, 'inf'::FLOAT)::DOUBLE, 4) END AS cost, coalesce(b.b.a, departure) AS arrival FROM req LEFT JOIN b USING (q)"""))
+def matrix_pairwise(spark, d):
+    """A matrix from each region to the next, pair by pair, led back from the targets."""
+    m = small_model(spark, d)
+    over = stage(live_overlay(spark, d, m.edges), "overlay")
+    n = table(spark, d, "nation")
+    s, t = n.select(F.col("n_nationkey").cast("int").alias("source"), ((F.col("n_regionkey") + 1) % 5).alias("r")), n.select(F.col("n_nationkey").cast("int").alias("target"), F.col("n_regionkey").alias("r"))
+    cells = s.join(t, "r").select(F.lit("all").alias("request_id"), F.col("source").alias("source_pos"), F.col("target").alias("target_pos"), "source", "target", F.lit(NOW).cast("long").alias("departure"))
+    out = search.matrix(cells, m, over, backward=True, strategy="PAIRWISE")
+    return out.select("source", "target", "reachable", F.round(F.col("cost").cast("double"), 4).alias("cost"), "arrival")
+
+
 @query(S.with_(S.LIVE, f"""s1 AS (SELECT a.edge_idx AS e1, b.edge_idx AS e2, b.base_weight AS w2, b.buckets AS k2, b.speed_factor, b.valid_from, b.valid_until, a.base_weight AS w1, a.buckets AS k1, a.speed_factor AS f1, a.valid_from AS b1, a.valid_until AS u1, {NOW}::BIGINT AS t0, coalesce(x.penalty, 0::FLOAT) AS turn
   FROM priced a JOIN priced b ON a.dest = b.origin LEFT JOIN turns x ON x.from_edge = a.edge_idx AND x.to_edge = b.edge_idx),
 s2 AS (SELECT *, (w1::DOUBLE * ({S.lerp('t0', 'k1')})::DOUBLE * (CASE WHEN u1 IS NULL OR t0 < b1 OR t0 >= u1 THEN 1::FLOAT WHEN f1 = 0 THEN 'inf'::FLOAT ELSE (1::DOUBLE / f1::DOUBLE)::FLOAT END)::DOUBLE)::FLOAT AS c1 FROM s1),
@@ -437,9 +514,9 @@ def path_replay(spark, d):
     return out.select("path_id.e1", "path_id.e2", "feasible", F.round(F.col("cost").cast("double"), 4).alias("cost"), "arrival")
 
 
-@query(S.with_(S.NODES, S.EDGES, "e AS (SELECT origin, dest FROM edges WHERE base_weight >= 1500)", "w AS (WITH RECURSIVE g(source, node, hops) AS (SELECT node_idx, node_idx, 0 FROM nodes UNION SELECT g.source, e.dest, g.hops + 1 FROM g JOIN e ON e.origin = g.node WHERE g.hops < 26) SELECT * FROM g)", body="SELECT source, node, min(hops)::INT AS hops FROM w GROUP BY ALL"))
+@query(S.with_(S.NODES, S.EDGES, "e AS (SELECT DISTINCT origin, dest FROM edges)", "w AS (WITH RECURSIVE g(source, node, hops) AS (SELECT node_idx, node_idx, 0 FROM nodes UNION SELECT g.source, e.dest, g.hops + 1 FROM g JOIN e ON e.origin = g.node WHERE g.hops < 8) SELECT * FROM g)", body="SELECT source, node, min(hops)::INT AS hops FROM w GROUP BY ALL"))
 def reachability(spark, d):
-    return search.reachable_nodes(graphs.nation_nodes(spark, d), stage(graphs.trade_edges(spark, d).filter("base_weight >= 1500"), "edges"))
+    return search.reachable_nodes(graphs.nation_nodes(spark, d), stage(graphs.trade_edges(spark, d), "edges"))
 
 
 _BOUND = "bw AS MATERIALIZED (SELECT edge_idx, origin, dest, base_weight::DOUBLE * CASE WHEN buckets IS NULL THEN 1.0 ELSE least(list_min(buckets)::DOUBLE, 1.0) END AS bound FROM edges LEFT JOIN profiles USING (profile_id))"
@@ -483,6 +560,16 @@ def geometry_bounds(spark, d):
     return rounded(heuristics.geometry_bounds(_all_pairs(m), m, "EUCLIDEAN"), "bound")
 
 
+_SPHERE = f"ratio AS (SELECT min(base_weight::DOUBLE * {_LEAST} / dist) AS ratio FROM (SELECT e.*, p.buckets, p.day_mask, {_hav('a', 'b')} AS dist FROM edges e LEFT JOIN profiles p USING (profile_id) JOIN nodes a ON a.node_idx = origin JOIN nodes b ON b.node_idx = dest) WHERE dist > 0)"
+
+
+@query(S.with_(S.NODES, S.EDGES, S.PROFILES, _SPHERE, body=f"SELECT a.node_idx AS source, b.node_idx AS target, round({_hav('a', 'b')} * ratio, 4) AS bound FROM nodes a, nodes b, ratio"))
+def spherical_bounds(spark, d):
+    m = small_model(spark, d)
+    heuristics.check_coordinates(m, "SPHERICAL")
+    return heuristics.geometry_bounds(_all_pairs(m), m, "SPHERICAL").withColumn("bound", F.round("bound", 4))
+
+
 @query(S.with_(S.NODES, S.EDGES, S.PROFILES, _BOUND, body="SELECT (SELECT count(*) FROM nodes) AS n_nodes, count(*) AS n_edges, sum(('0x' || substr(md5(edge_idx || '|' || origin || '|' || dest || '|' || round(bound * 1000)::BIGINT), 1, 12))::BIGINT)::VARCHAR AS signature FROM bw"))
 def graph_signature(spark, d):
     return heuristics.signature(small_model(spark, d))
@@ -541,6 +628,49 @@ def recurring_updates(spark, d):
     return rounded(out, "speed_factor").withColumn("severity", F.round("severity", 4))
 
 
+_BUNDLE = """bu AS (SELECT request_id, greatest(0.15, least(0.75, base * scale)) AS p, base, scale, sev, CASE WHEN confidence >= 0.8 THEN 'recurrent_confidence_high' WHEN confidence >= 0.55 THEN 'recurrent_confidence_medium' ELSE 'recurrent_confidence_low' END AS tag FROM pr JOIN (SELECT request_id, max(peak_ratio) AS sev FROM rec GROUP BY 1) USING (request_id))"""
+
+
+@query(S.with_(S.EDGES, S.PROFILES, _PATTERN, _SREQ, _PEAK, _SIGNAL, _RECUR, _BUNDLE, body="""SELECT request_id, scenario_id, round(probability, 6) AS probability, tags, evidence, round(base, 6) AS base, round(probability, 6) AS adjusted FROM (
+SELECT q.request_id, 'baseline' AS scenario_id, 1 - coalesce(p, 0) AS probability, coalesce(tag, '') AS tags, CASE WHEN p IS NOT NULL THEN 'profiles' END AS evidence, 1 - base AS base, p FROM sreq q LEFT JOIN bu USING (request_id)
+UNION ALL SELECT request_id, 'periodic_peak', p, 'periodic_peak,' || tag, 'profiles', base, p FROM bu)"""))
+def scenario_bundle(spark, d):
+    """Scenarios of every request with tags and audits, as profiles alone give them; a request without a signal has no audit."""
+    m = small_model(spark, d)
+    scenarios, _ = scenario.resolve_bundle(scenario_requests(spark, d), m, CALENDAR)
+    out = scenarios.select("request_id", "scenario_id", "probability", F.array_join("tags", ",").alias("tags"), "audit.evidence", "audit.base", "audit.adjusted")
+    return rounded(out, "probability", "base", "adjusted")
+
+
+@query(S.with_(S.EDGES, S.UPDATES, _TWO, body=f"""SELECT 'calm' AS scenario_id, edge_idx, speed_factor::DOUBLE AS speed_factor, valid_from, valid_until FROM cur WHERE valid_until > {NOW}
+UNION ALL SELECT 'busy', edge_idx, speed_factor::DOUBLE, valid_from, valid_until FROM cur WHERE valid_until > {NOW} AND edge_idx NOT IN (SELECT edge_idx FROM fresh) UNION ALL SELECT 'busy', edge_idx, speed_factor::DOUBLE, valid_from, valid_until FROM fresh"""))
+def scenario_surface(spark, d):
+    """The overlay that each of two scenarios sees: the live one, and the live one with a batch of its own in place of those edges' entries."""
+    cur, batch = _two(spark, d)
+    scenarios = spark.createDataFrame([("calm",), ("busy",)], "scenario_id string")
+    own = overlay.last_per_edge(batch.filter(F.col("valid_until") > LATER)).withColumn("scenario_id", F.lit("busy"))
+    return scenario.scenario_overlay(cur, scenarios, own, NOW).withColumn("speed_factor", F.col("speed_factor").cast("double"))
+
+
+@query("""SELECT request_id, reason_code FROM (SELECT user_id AS request_id, sum(p) AS total, count(*) AS n, count(DISTINCT event_type) AS k, max(p) AS top, count_if(odd) AS odd FROM (SELECT user_id, event_type, value / 100 + CASE WHEN value > 80 THEN 0.5 ELSE 0 END AS p, event_id % 100 = 0 AS odd FROM events) GROUP BY 1),
+LATERAL (SELECT unnest([CASE WHEN n > k THEN 'SCENARIO_DUPLICATE' END, CASE WHEN abs(total - 1) > 1e-6 THEN 'SCENARIO_PROBABILITY_SUM' END, CASE WHEN top > 1 THEN 'SCENARIO_PROBABILITY' END, CASE WHEN odd > 0 THEN 'SCENARIO_EDGE_UNKNOWN' END, CASE WHEN odd > 1 THEN 'SCENARIO_EDGE_DUPLICATE' END]) AS reason_code) WHERE reason_code IS NOT NULL""")
+def bundle_checks(spark, d):
+    """What is wrong with bundles made of each user's events: an event type is a scenario, its value a probability, every hundredth event an update of no edge."""
+    ev = table(spark, d, "events")
+    scenarios = ev.select(F.col("user_id").alias("request_id"), F.col("event_type").alias("scenario_id"), (F.col("value") / 100 + F.when(F.col("value") > 80, 0.5).otherwise(0.0)).alias("probability"))
+    updates = ev.filter("event_id % 100 = 0").select(F.col("user_id").alias("request_id"), F.lit("all").alias("scenario_id"), F.lit(-1).alias("edge_idx"))
+    return scenario.check_bundle(scenarios, updates, graphs.trade_edges(spark, d))
+
+
+@query("""SELECT user_id AS profile_id FROM events WHERE value > 50 AND NOT ((event_id % 3 = 0) = (event_id % 2 = 0) AND (event_id % 3 = 0) = (event_type <> 'view') AND (event_id % 3 <> 0 OR event_type <> 'click' AND value / 60 BETWEEN 0 AND 1 AND event_id % 7 > 0))""")
+def calibration_checks(spark, d):
+    """Override rows made of events that break the rule of all fields or none."""
+    ev = table(spark, d, "events").filter("value > 50")
+    flavor = F.when(F.col("event_type") == "click", "NONE").when(F.col("event_type") != "view", F.col("event_type"))
+    rows = ev.select(F.col("user_id").alias("profile_id"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 60).alias("confidence"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 7).alias("observation_count"), flavor.alias("flavor"))
+    return model.check_calibration(rows)
+
+
 @query(f"""SELECT event_id, round(0.20 + 0.80 * pow(0.5, greatest(0, {NOW} - s) / 2700.0), 6) AS freshness, round(0.35 + 0.65 * pow(0.5, value * 600 / 21600.0), 6) AS horizon_weight,
 round(greatest(0.35, least(0.85, 0.35 + 0.50 * (0.20 + 0.80 * pow(0.5, greatest(0, {NOW} - s) / 2700.0)) * (0.35 + 0.65 * pow(0.5, value * 600 / 21600.0)))), 6) AS incident,
 round(greatest(0.15, least(0.75, 0.15 + 0.30 * (value / 100) + 0.20 * greatest(0.0, least(1.0, (1 + value / 50 - 1.1) / 1.5)) + 0.10 * greatest(0.0, least(1.0, ln(1.0 + event_id % 40) / ln(17.0))))), 6) AS peak FROM (SELECT *, {_SEC} AS s FROM events)""")
@@ -714,7 +844,13 @@ def quarantine_edges(spark, d):
     return topology.failed_edges(_failures(spark, d, edges), edges, NOW)
 
 
-@query(S.with_(S.EDGES, _FAIL, body=f"SELECT count(*) AS n_active, max(observed_at) AS observed_at, (SELECT array_to_string(list_sort(list(DISTINCT t)), ',') FROM (SELECT unnest([reason, source]) AS t FROM fl WHERE valid_until > {NOW})) AS tags FROM fl WHERE valid_until > {NOW}"))
+@query(S.with_(S.EDGES, _FAIL, body=f"SELECT edge_idx, 0::DOUBLE AS speed_factor, {NOW}::BIGINT AS valid_from, least(max(valid_until), {NOW + 7200}) AS valid_until FROM (SELECT e.edge_idx, f.valid_until FROM fl f JOIN edges e ON f.kind = 'edge' AND f.subject_idx = e.edge_idx OR f.kind = 'node' AND f.subject_idx IN (e.origin, e.dest) WHERE f.valid_until > {NOW}) GROUP BY edge_idx"))
+def quarantine_overlay(spark, d):
+    edges = stage(graphs.trade_edges(spark, d), "edges")
+    return _slots(topology.failure_updates(_failures(spark, d, edges), edges, NOW, F.lit(NOW + 7200)))
+
+
+@query(S.with_(S.EDGES, _FAIL, body=f"SELECT count(*) AS n_active, max(observed_at) AS observed_at, max(observed_at) AS observed_at, (SELECT array_to_string(list_sort(list(DISTINCT t)), ',') FROM (SELECT unnest([reason, source]) AS t FROM fl WHERE valid_until > {NOW})) AS tags FROM fl WHERE valid_until > {NOW}"))
 def quarantine_summary(spark, d):
     edges = stage(graphs.trade_edges(spark, d), "edges")
     return topology.failure_summary(_failures(spark, d, edges), NOW).withColumn("tags", F.array_join("tags", ","))
@@ -729,6 +865,19 @@ def overlay_carry_over(spark, d):
     return moved.join(new.edges.select("edge_idx", "edge_id"), "edge_idx").select("edge_id", "valid_until")
 
 
+@query(S.with_(S.NODES, S.EDGES, S.UPDATES, S.OVERLAY, _CHANGED, body="SELECT edge_id, base_weight, (SELECT max(valid_until) FROM overlay o JOIN edges e USING (edge_idx) WHERE e.edge_id = c.edge_id) AS valid_until FROM changed c"))
+def publication(spark, d):
+    """The changed network after it was published and read back, with the live entries that it took over."""
+    m = small_model(spark, d)
+    nodes, edges, turns = topology.apply_changes(*topology.external(m), _changes(m))
+    pub = topology.Publisher(spark, f"{shared_dir(spark)}/tidepath-{spark.sparkContext.applicationId}/topology-{uuid.uuid4().hex}")
+    pub.publish(m)
+    pub.publish(topology.compile_model(nodes, edges, m.profiles, turns, Metadata()))
+    new = pub.current()
+    moved = topology.carry_over(live_overlay(spark, d, m.edges), "edge_idx", m.edges, new.edges, "edge_id", "edge_idx")
+    return new.edges.join(moved.select("edge_idx", "valid_until"), "edge_idx", "left").select("edge_id", F.col("base_weight").cast("double").alias("base_weight"), "valid_until")
+
+
 # ---- results and streams
 
 
@@ -751,13 +900,24 @@ def result_reload(spark, d):
     return kept.groupBy("topology_version").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
+@query(S.with_("""r AS (SELECT user_id::VARCHAR AS result_id, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1)""", body=f"SELECT result_id, {NOW}::BIGINT AS created_at, {NOW + 600}::BIGINT AS expires_at, n AS n_rows FROM r WHERE result_id::BIGINT % 2 = 0"))
+def kept_results(spark, d):
+    """Every user's events kept as a result, twice in turn; those of even users read back."""
+    ev = table(spark, d, "events").select(F.col("user_id").alias("k"), "event_id")
+    first = results.as_result(ev, "k", F.lit("v1"), NOW - 900, 1000)
+    second = results.as_result(ev, "k", F.lit("v1"), NOW, 600)
+    store = stage(results.put(results.put(first.limit(0), first, NOW - 900, 1 << 40), second, NOW, 1 << 40), "store")
+    found = results.get(store, second.select("result_id").filter("cast(result_id as bigint) % 2 = 0"), NOW + 599)
+    return found.select("result_id", "created_at", "expires_at", F.size(F.from_json("payload", "array<struct<event_id:bigint>>")).cast("long").alias("n_rows"))
+
+
 @query(S.with_(S.EDGES, S.UPDATES, "last AS (SELECT max(valid_from) AS now FROM updates)", body="SELECT edge_idx, arg_max(speed_factor, ordinal)::DOUBLE AS speed_factor, arg_max(valid_from, ordinal) AS valid_from, arg_max(valid_until, ordinal) AS valid_until FROM updates, last WHERE valid_until > now GROUP BY edge_idx"))
 def overlay_stream(spark, d):
     """All events as one stream into an overlay table; what has expired at the end of its batch is late and left out."""
     edges = stage(graphs.trade_edges(spark, d), "edges")
     root = f"{shared_dir(spark)}/tidepath-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     updates = graphs.event_updates(spark, d, edges).withColumn("now", F.col("valid_from"))
-    updates.coalesce(1).write.parquet(f"{root}/in")
+    updates.write.parquet(f"{root}/in")
     source = spark.readStream.schema(updates.schema).parquet(f"{root}/in")
     kept = streams.LiveTable(spark, f"{root}/table", "edge_idx int, speed_factor float, valid_from long, valid_until long")
     streams.overlay_stream(source, kept, f"{root}/checkpoint").awaitTermination()
