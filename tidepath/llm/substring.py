@@ -7,6 +7,10 @@ A shard builds a compressed FM-index (wavelet matrix over the Burrows-Wheeler tr
 marks where neighbouring suffixes share 50 words) of its spans, and streams the spans through it: backward
 search gives the suffix interval of each position's longest match of up to 50 words, and at full length the
 interval's smallest document. A window that occurs in a smaller document than its own is reported.
+
+A minimizer whose distinct spans are too much for one shard, as that of a passage which stands in very many
+surroundings, is taken apart: of its windows those with a content hash that several spans have go on, once each,
+and are dealt over shards by that hash, so equal windows still meet and no shard grows with the passage's fame.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from .common import stage
 from .tokens import mix, raw_column, split_rows, windows, words_of
 
 WINDOW, GRAM = 50, 10
+#: Words of a shard; a minimizer with more of them in distinct spans is taken apart.
 SHARD_WORDS = 400_000
 
 
@@ -36,6 +41,17 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _content(g: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """A hash of each window from those of its `gram`-word sequences, by place of the first."""
+    n = max(0, len(g) - (window - gram))
+    whole = windows(g, 1, 2)[:n].copy()
+    for j in range(gram, window - gram + 1, gram):
+        whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + g[j : j + n])
+    if window % gram:
+        whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + g[window - gram : window - gram + n])
+    return whole
+
+
 _RUNS = pa.schema([("m", pa.int64()), ("span", pa.int64()), ("n_windows", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64())])
 RUNS = "m long, span long, n_windows long, doc_id long, text_hash long, start long"
 
@@ -58,12 +74,8 @@ def _runs(window: int, gram: int):
                 at = np.flatnonzero(begin)
                 if not len(at):
                     continue
-                # a window's content, from its 10-word hashes; a span's, from its windows in order
-                whole = windows(g, 1, 2)[: len(least)].copy()
-                for j in range(gram, window - gram + 1, gram):
-                    whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + g[j : j + len(least)])
-                if window % gram:
-                    whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + g[window - gram : window - gram + len(least)])
+                # a span's content, from its windows in order
+                whole = _content(g, window, gram)
                 own = np.flatnonzero(inside)
                 run_of = np.cumsum(begin)[own] - 1
                 place = (own - at[run_of]).astype(np.uint64)
@@ -103,6 +115,31 @@ def _spans(window: int):
     return run
 
 
+_UNITS = pa.schema([("m", pa.int64()), ("span", pa.int64()), ("at", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64())])
+UNITS = "m long, span long, at long, content long, doc_id long, text_hash long, start long"
+
+
+def _units(window: int, gram: int):
+    """The windows of requested spans: rows text, doc_id, the lists m, span, start, n_windows, and text_hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = raw_column(batch.column(0))
+            for lo, hi in split_rows(offs):
+                words = words_of(data, offs, lo, hi)
+                whole = _content(windows(words.hashes(lower=False), gram, 1), window, gram)
+                part = batch.slice(lo, hi - lo)
+                m, span, start, count = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
+                row = np.repeat(np.arange(hi - lo), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                place = np.repeat(start, count) + at
+                ids, keys = (part.column(i).to_numpy(zero_copy_only=False)[np.repeat(row, count)] for i in (1, 6))
+                content = whole[np.repeat(words.first[row], count) + place].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(m, count)), pa.array(np.repeat(span, count)), pa.array(at), pa.array(content), pa.array(ids), pa.array(keys), pa.array(place)], schema=_UNITS)
+
+    return run
+
+
 class WaveletMatrix:
     """Rank of a symbol in a prefix of a sequence: a bit vector per bit of the symbols, 64 bits to a word, with a count before each word."""
 
@@ -214,7 +251,7 @@ _FOUND = pa.schema([("m", pa.int64()), ("span", pa.int64()), ("at", pa.list_(pa.
 FOUND = "m long, span long, at array<long>, size array<long>, owner array<long>"
 
 
-def _search(window: int):
+def _search(window: int, shard_words: int):
     def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         words = batch.column(3).flatten().to_numpy(zero_copy_only=False)
@@ -242,7 +279,7 @@ def _search(window: int):
             at = 0
             for a, b in zip(cuts[:-1], cuts[1:]):
                 joined = a == 0 and held and held[-1].column(0)[-1].as_py() == m[0]
-                if size + weight[a] - weight[at] >= SHARD_WORDS and not joined and (held or a > at):
+                if size + weight[a] - weight[at] >= shard_words and not joined and (held or a > at):
                     if a > at:
                         held.append(batch.slice(at, a - at))
                     yield shard(held)
@@ -294,7 +331,13 @@ def _cut_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _cut(batches, True)
 
 
-def repeated_intervals(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def _asked(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Texts with lists of the spans (m, span, start, n_windows by doc_id and text_hash) that are wanted of them, as _spans and _units take them."""
+    lists = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("m", "span", "start", "n_windows")).alias("asked"))
+    return texts.join(lists, ["doc_id", "text_hash"]).select("text", "doc_id", *[F.col(f"asked.{c}").alias(c) for c in ("m", "span", "start", "n_windows")], "text_hash")
+
+
+def repeated_intervals(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, text_hash, begin, end of word ranges that also occur in a document with a smaller doc_id; texts has doc_id, text_hash, text."""
     runs = texts.filter("doc_id is not null").mapInArrow(_runs(window, gram), RUNS)
     runs = stage(runs, "runs")
@@ -302,19 +345,32 @@ def repeated_intervals(texts: DataFrame, window: int = WINDOW, gram: int = GRAM)
     uses = stage(runs.join(common, "m"), "uses")
     kinds = uses.groupBy("m", "span").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.first("n_windows").alias("n_windows"))
     kinds = stage(kinds.select("m", "span", "n_windows", "first.*"), "kinds")
-    several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
-    asked = kinds.join(several, "m", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("m", "span", "start", "n_windows")).alias("asked"))
-    rows = texts.join(asked, ["doc_id", "text_hash"]).select("text", "doc_id", *[F.col(f"asked.{c}").alias(c) for c in ("m", "span", "start", "n_windows")])
-    spans = rows.mapInArrow(_spans(window), "m long, span long, doc_id long, words array<long>")
-    found = spans.repartition("m").sortWithinPartitions("m").mapInArrow(_search(window), FOUND).dropDuplicates(["m", "span"])
-    found = found.select("m", "span", F.arrays_zip("at", "size", "owner").alias("found"))
+    several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_windows") + window - 1).alias("words")).filter("n > 1")
+    several = stage(several.select("m", (F.col("words") > shard_words).alias("hot")), "several")
+    pick = lambda hot: kinds.join(several.filter("hot" if hot else "not hot").select("m"), "m", "left_semi")
+
+    def searched(spans: DataFrame) -> DataFrame:
+        words = spans.mapInArrow(_spans(window), "m long, span long, doc_id long, words array<long>")
+        return words.repartition("m").sortWithinPartitions("m").mapInArrow(_search(window, shard_words), FOUND).dropDuplicates(["m", "span"])
+
+    found = searched(_asked(texts, pick(False))).select("m", "span", F.arrays_zip("at", "size", "owner").alias("found"))
+    if not several.filter("hot").isEmpty():
+        units = stage(_asked(texts, pick(True)).mapInArrow(_units(window, gram), UNITS), "units")
+        repeated = units.groupBy("content").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # a shard's key is the content hash's share of the range that gives shards of about shard_words
+        n = repeated.count()
+        shard = F.pmod(F.xxhash64("content"), F.lit(1 + n * window // shard_words))
+        ones = repeated.select("first.*", F.col("content").alias("span"), shard.alias("m"), F.lit(1).cast("long").alias("n_windows"))
+        owners = searched(_asked(texts, stage(ones, "ones"))).select(F.col("span").alias("content"), F.col("owner")[0].alias("owner"))
+        each = units.join(owners, "content", "left").select("m", "span", F.struct("at", F.lit(1).cast("long").alias("size"), F.coalesce("owner", "doc_id").alias("owner")).alias("f"))
+        found = found.unionByName(each.groupBy("m", "span").agg(F.collect_list("f").alias("found")).select("m", "span", F.col("found").cast("array<struct<at:bigint,size:bigint,owner:bigint>>")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n_windows").alias("size"), F.col("doc_id").alias("owner")))
     kinds = kinds.join(found, ["m", "span"], "left").select("m", "span", F.coalesce("found", alone).alias("found"))
     hits = uses.join(kinds, ["m", "span"]).select("doc_id", "text_hash", "start", F.explode("found").alias("f")).filter("f.owner < doc_id")
     return hits.select("doc_id", "text_hash", (F.col("start") + F.col("f.at")).alias("begin"), (F.col("start") + F.col("f.at") + F.col("f.size") + window - 1).alias("end"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (or kept_sha256 if digest): one row per input row.
 
     A word goes if it is covered by a window of `window` consecutive words whose sequence also starts in a
@@ -324,7 +380,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dig
     rows with a null doc_id neither lose words nor remove any. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    cuts = repeated_intervals(texts, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
+    cuts = repeated_intervals(texts, window, gram, shard_words).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
     none = F.array().cast("array<bigint>")
     rows = texts.join(cuts, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("cuts.begin", none).alias("begin"), F.coalesce("cuts.end", none).alias("end"))
     out = rows.mapInArrow(_cut_digest if digest else _cut_text, "doc_id long, n_words long, n_removed long, kept_text string")
