@@ -2,7 +2,8 @@
 
 Archives are written and read by Spark's text source alone, so they may lie in any store that Spark
 reaches. A record and the two line ends that close it are one "line" of the writer. Files are
-gzip streams, which Spark does not split: one task reads a file from its start, record by record.
+gzip streams, which Spark does not split: one task reads a file from its start, record by record. A broken
+record costs itself alone and is reported.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from .common import stage, stage_path
 
 BREAK = "\r\n\r\n"
 MARK = b"\r\n\r\nWARC/"
-RECORD_SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, content_type string, concurrent_to array<string>, refers_to string, header_digest string, http_head string, payload binary"
-_ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("content_type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("header_digest", pa.string()), ("http_head", pa.string()), ("payload", pa.binary())])
+RECORD_SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, content_type string, concurrent_to array<string>, refers_to string, header_digest string, http_head string, payload binary, reason string"
+_ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("content_type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("header_digest", pa.string()), ("http_head", pa.string()), ("payload", pa.binary()), ("reason", pa.string())])
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -36,12 +37,13 @@ def _record(record_type: str, record_id: Column, uri: Column, date: str, content
     return F.concat(*head, *fields, F.lit(BREAK), block)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", max_records_per_file: int = 200_000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> None:
     """Write a response or revisit record, a request and a metadata record for every row.
 
     Of rows with equal payloads of at least `least_bytes` bytes the one with the largest id (then the last of
     repeated rows) is the response, the others revisit it and carry no payload. Null payloads are empty; null
-    urls are empty; line ends in urls become spaces. Rows that repeat get record ids of their own.
+    urls are empty; line ends in urls become spaces. Rows that repeat get record ids of their own. A file has about
+    `file_bytes` bytes before compression, by the mean size of a page. An empty table gives no record.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     pages = stage(
@@ -70,7 +72,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     metadata = _record("metadata", urn("metadata", F.col("page_id"), F.col("row_id")), F.col("url"), date, "application/warc-fields", F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit("\r\n")), joint)
     again = F.col("keep").isNotNull() & (F.col("keep.row_id") != F.col("row_id"))
     records = rows.select(F.explode(F.array(F.when(again, revisit).otherwise(response), request, metadata)).alias("value"))
-    records.write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", max_records_per_file).text(path)
+    mean = (pages.agg(F.avg("bytes")).first()[0] or 0) + 1_500  # with the heads of a capture's three records
+    records.write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", max(3, int(3 * file_bytes / mean))).text(path)
 
 
 def _fields(head: bytes) -> dict[str, list[str]]:
@@ -81,52 +84,101 @@ def _fields(head: bytes) -> dict[str, list[str]]:
     return found
 
 
-def _parse(raw: bytes) -> dict | None:
-    """A record's row; None while its block is shorter than Content-Length, which happens where a payload quotes the mark that pieces end at."""
-    head, _, block = raw.partition(b"\r\n\r\n")
+def _length(head: bytes) -> tuple[dict[str, list[str]], int | None]:
+    """A record's fields and its Content-Length; None if it has none, or no number that can be one."""
     fields = _fields(head)
+    given = fields.get("content-length", [""])[0]
+    return fields, int(given) if given.isascii() and given.isdigit() and len(given) < 19 else None
+
+
+def _row(fields: dict[str, list[str]], block: bytes, reason: str | None = None) -> dict:
     one = lambda k: fields.get(k, [None])[0]
-    length = int(one("content-length") or 0)
-    if len(block) < length:
-        return None
-    block, bare = block[:length], lambda x: x.strip("<>") if x else x
+    bare = lambda x: x.strip("<>") if x else x
     http, payload = b"", block
     if (one("content-type") or "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
     kind = one("warc-type")
-    return {"record_id": bare(one("warc-record-id")), "record_type": kind, "target_uri": one("warc-target-uri"), "warc_date": one("warc-date"), "content_type": one("content-type"), "concurrent_to": [bare(x) for x in fields.get("warc-concurrent-to", [])], "refers_to": bare(one("warc-refers-to")), "header_digest": (one("warc-payload-digest") or "").removeprefix("sha1:") or None, "http_head": http.decode("utf-8", "replace"), "payload": None if kind == "revisit" else payload}
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[dict] = []
-    held = 0
-    at, begun = None, b""
-    for batch in batches:
-        for file, piece in zip(batch.column(0), batch.column(1)):
-            file, piece = file.as_py(), piece.as_py()
-            if file != at:
-                at, begun = file, b""
-            begun = begun + MARK + piece if begun else piece
-            if (row := _parse(begun)) is None:
-                continue
-            begun = b""
+    gone = reason is not None or kind == "revisit"
+    return {"record_id": bare(one("warc-record-id")), "record_type": kind, "target_uri": one("warc-target-uri"), "warc_date": one("warc-date"), "content_type": one("content-type"), "concurrent_to": [bare(x) for x in fields.get("warc-concurrent-to", [])], "refers_to": bare(one("warc-refers-to")), "header_digest": (one("warc-payload-digest") or "").removeprefix("sha1:") or None, "http_head": http.decode("utf-8", "replace"), "payload": None if gone else payload, "reason": reason}
+
+
+class _Assembler:
+    """Records of one file from its pieces between marks.
+
+    A payload may quote the mark, so a record that is too short for its Content-Length takes up the next pieces
+    until it ends exactly where one does. If it would end inside a piece, or the file ends first, it was cut
+    short: it is reported, and the piece after its first begins a record of its own.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.pieces, self.head, self.have = most, [], None, 0
+
+    def _begin(self) -> None:
+        head, stop, block = self.pieces[0].partition(b"\r\n\r\n")
+        # where a block begins with what looks like a record, the mark has taken the end of the head
+        self.head, self.have, self.used = (*_length(head), stop + block), len(block) if stop else -len(BREAK), 1
+
+    def rows(self, end: bool = False) -> Iterator[dict]:
+        while self.pieces:
+            if self.head is None:
+                self._begin()
+            fields, need, block = self.head
+            reason = "LENGTH" if need is None else "TOO_LONG" if need > self.most else None
+            while reason is None and self.have < need and self.used < len(self.pieces):
+                self.have += len(MARK) + len(self.pieces[self.used])
+                self.used += 1
+            if reason is None and self.have < need:
+                if not end:
+                    return
+                reason = "TRUNCATED"
+            whole = self.used == 1 or (need is not None and (self.have == need or (end and self.used == len(self.pieces) and self.have <= need + len(BREAK))))
+            if reason is None and whole:
+                yield _row(fields, MARK.join([block, *self.pieces[1 : self.used]])[len(BREAK) : len(BREAK) + need])
+                del self.pieces[: self.used]
+            else:
+                yield _row(fields, b"", reason or "TRUNCATED")
+                del self.pieces[0]
+            self.head = None
+
+
+def _records(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        held, at, file = 0, None, _Assembler(most)
+
+        def rows() -> Iterator[dict]:
+            nonlocal at, file
+            for batch in batches:
+                for name, piece in zip(batch.column(0), batch.column(1)):
+                    if name.as_py() != at:
+                        yield from file.rows(end=True)
+                        at, file = name.as_py(), _Assembler(most)
+                    file.pieces.append(piece.as_py())
+                    yield from file.rows()
+            yield from file.rows(end=True)
+
+        for row in rows():
             out.append(row)
             held += len(row["payload"] or b"")
             if held > 4_000_000 or len(out) >= 2_000:
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
                 out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+    return run
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
     """A row per record, read in order from gzip-compressed archives; Content-Length, not the record mark, decides where a payload ends.
 
     Only gzip files may be read this way: Spark would split plain ones, and a split could begin inside a
-    payload. A record that ends before its Content-Length is left out, as no reader can tell its end.
+    payload. A broken record has its fields as far as they can be read, no payload, and a reason: TRUNCATED (it
+    ends before its Content-Length), LENGTH (it has none, or one that is no number) or TOO_LONG (more than
+    `most_bytes`, which bounds a task's memory); records after it are read as ever. Others have no reason.
     """
     lines = spark.read.option("lineSep", MARK.decode()).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary")).mapInArrow(_records, RECORD_SCHEMA)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary")).mapInArrow(_records(most_bytes), RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame, carry: list[str]) -> DataFrame:
@@ -137,6 +189,7 @@ def assemble(records: DataFrame, carry: list[str]) -> DataFrame:
     and all are counted, so a capture with very many of them stays one bounded row. Records that name no
     capture present are not part of one; a capture without them has null there.
     """
+    records = records.filter("reason is null")
     captures = records.filter(F.col("record_type").isin("response", "revisit", "resource"))
     others = records.filter(F.col("record_type").isin("request", "metadata"))
     named = others.select("record_id", F.explode("concurrent_to").alias("to"))
@@ -157,11 +210,14 @@ def assemble(records: DataFrame, carry: list[str]) -> DataFrame:
 def captures_digest(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, n_requests, n_metadata: one row per capture of an archive of write_warc.
 
-    A revisit's digest and size are those of the response it refers to.
+    A revisit's digest and size are those of the response it refers to. The archives are parsed once: what is
+    needed of their records is written before it is joined, payloads of captures as size and digest alone.
     """
     page = lambda c: F.regexp_extract(c, r"^urn:capture:(-?\d+):", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")
-    records = records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.when(F.col("record_type") == "response", sha1_base32(F.col("payload"))))
+    response = F.col("record_type") == "response"
+    records = records.filter("reason is null").withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.when(response, sha1_base32(F.col("payload"))))
+    records = stage(records.withColumn("payload", F.when(~response, F.col("payload"))), "records")
     whole = assemble(records, ["payload_bytes", "payload_digest"])
     sizes = records.filter(F.col("record_type") == "response").select(F.col("record_id").alias("first"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
     return whole.join(sizes, F.col("refers_to") == F.col("first"), "left").select(
