@@ -77,14 +77,19 @@ def emissions(crf: Crf, words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def posteriors(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Label probabilities of each word by forward-backward within each row; row r has words first[r] to first[r + 1].
+    """Label probabilities of each word by forward-backward within each row; row r has words first[r] to first[r + 1]."""
+    return forward_backward(scores, first, transitions)[0]
+
+
+def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities of each word and, with pairs, the expected number of each transition, of the one into a row's first word too.
 
     Rows are cut into chunks that run side by side. A chunk's product of transition and emission matrices
     carries forward and backward vectors over it, so long rows cost no more steps than there are chunks.
     """
     n, k = scores.shape
     if not n:
-        return scores
+        return scores, np.zeros(transitions.shape) if pairs else None
     sizes = np.diff(first)
     chunks = -(-sizes // CHUNK)
     chunk_row = np.repeat(np.arange(len(sizes)), chunks)
@@ -119,6 +124,7 @@ def posteriors(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -
             behind[now - 1] = v / v.max(axis=1, keepdims=True)
     # the first word of a row has no transition into it; a uniform start through the matrix stands for it
     forward = np.empty_like(grid)
+    expected = np.zeros(transitions.shape) if pairs else None
     v = ahead
     for t in range(CHUNK):
         moved = (v @ step) * grid[t]
@@ -129,13 +135,29 @@ def posteriors(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -
     out = np.empty_like(grid)
     for t in range(CHUNK - 1, -1, -1):
         out[t] = forward[t] * v
+        if pairs:
+            # what leads here, the transition, this word's score and what follows
+            joint = (forward[t - 1] if t else ahead)[:, :, None] * step * (grid[t] * v)[:, None, :]
+            expected += (joint / joint.sum(axis=(1, 2), keepdims=True))[valid[t]].sum(axis=0)
         moved = (grid[t] * v) @ step.T
         moved /= moved.max(axis=1, keepdims=True)
         v = np.where(valid[t][:, None], moved, v)
     out /= out.sum(axis=2, keepdims=True)
     probs = np.empty((n, k), dtype=np.float32)
     probs[index[valid]] = out[valid]
-    return probs
+    return probs, expected
+
+
+def transition_counts(labels: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The transitions of known labels; into a row's first label they come from each label by its share."""
+    out = np.zeros(transitions.shape)
+    inner = np.ones(len(labels), dtype=bool)
+    inner[first[:-1][np.diff(first) > 0]] = False
+    now = np.flatnonzero(inner)
+    np.add.at(out, (labels[now - 1], labels[now]), 1.0)
+    into = np.exp(transitions - transitions.max())
+    np.add.at(out.T, labels[~inner], (into / into.sum(axis=0)).T[labels[~inner]])
+    return out
 
 
 def train(spans: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed: int = 7) -> Crf:
@@ -169,24 +191,16 @@ def train(spans: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed
             part = Words(words.data, words.starts[lo:hi], words.ends[lo:hi], np.append(np.arange(0, hi - lo, CHUNK), hi - lo))
             y, h = gold[lo:hi], hashes[lo:hi]
             scores = emissions(crf, part, h)
-            probs = posteriors(scores, part.first, crf.transitions)
+            probs, expected = forward_backward(scores, part.first, crf.transitions, pairs=True)
             error = -probs.astype(np.float64)
             error[np.arange(len(y)), y] += 1
             place, slot = word_features(part, np.arange(len(y)))
-            grads = [np.zeros_like(crf.weights), np.zeros_like(crf.lexicon_weights), np.zeros_like(crf.transitions)]
+            grads = [np.zeros_like(crf.weights), np.zeros_like(crf.lexicon_weights), transition_counts(y, part.first, crf.transitions) - expected]
             np.add.at(grads[0], slot, error[place])
             if len(lexicon):
                 at = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
                 known = lexicon[at] == h
                 np.add.at(grads[1], at[known], error[known])
-            # expected transitions from pair marginals, written with one-sided posteriors of neighbours
-            inner = np.ones(len(y), dtype=bool)
-            inner[part.first[:-1]] = False
-            now = np.flatnonzero(inner)
-            np.add.at(grads[2], (y[now - 1], y[now]), 1.0)
-            step = np.exp(crf.transitions - crf.transitions.max())
-            pair = probs[now - 1][:, :, None] * step * probs[now][:, None, :]
-            grads[2] -= (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             for x, g, s in zip((crf.weights, crf.lexicon_weights, crf.transitions), grads, sums):
                 g /= 64
                 s += g * g
@@ -214,18 +228,29 @@ def _span(most: int):
     return run
 
 
-def training_spans(labelled: DataFrame, per_language: int = 400, words: int = 64) -> list[tuple[str, str]]:
+def training_spans(labelled: DataFrame, per_language: int = 400, words: int = 64, most_languages: int = 1000) -> list[tuple[str, str]]:
     """At most `per_language` rows of each language, drawn by hash, a run of at most `words` words of each: the bound on what the driver gets.
 
-    labelled has text and lang and a draw, a number in [0, 1) fixed by the row.
+    labelled has text and lang and a draw, a number in [0, 1) fixed by the row. A language whose rows, being
+    repeats, all miss the draw gives its first ones. More than `most_languages` languages are an error, as the
+    model has a weight per feature and language.
     """
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per label of the model
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(4.0 * per_language / n))]), F.col("lang")) if counts else F.lit(0.0)
-    some = labelled.filter(F.col("draw") < share)
-    first = Window.partitionBy("lang").orderBy("draw", "text")
-    some = some.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= per_language)
-    inside = some.select("lang", "text", F.pmod(F.col("draw") * 1e6, F.lit(1.0)).alias("where"))
-    return [(r.lang, r.words) for r in inside.mapInArrow(_span(words), "lang string, words string").collect() if r.words]
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn")
+    if not counts:
+        return []
+
+    def draw(rows: DataFrame) -> list[tuple[str, str]]:
+        first = Window.partitionBy("lang").orderBy("draw", "text")
+        some = rows.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= per_language)
+        inside = some.select("lang", "text", F.pmod(F.col("draw") * 1e6, F.lit(1.0)).alias("where"))
+        return [(r.lang, r.words) for r in inside.mapInArrow(_span(words), "lang string, words string").collect() if r.words]
+
+    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(4.0 * per_language / n))]), F.col("lang"))
+    found = draw(labelled.filter(F.col("draw") < share))
+    missing = sorted(set(counts) - {k for k, _ in found})
+    return found + (draw(labelled.filter(F.col("lang").isin(missing))) if missing else [])
 
 
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -281,11 +306,11 @@ def _held(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
+def fit(docs: DataFrame, per_language: int = 400, words: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     """A model of the rows that are not held out, have a language and have letters; without such rows one without labels."""
     known = docs.filter(~_held(id_col)).filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    spans = training_spans(known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")), per_language)
+    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
+    spans = training_spans(known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")), per_language, words)
     return train(spans) if spans else Crf([], np.zeros((1, 0)), np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
 
 
@@ -293,20 +318,21 @@ def _letters(text_col: str) -> F.Column:
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
-def identify_language(docs: DataFrame, train_on: DataFrame | None = None, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_language(docs: DataFrame, train_on: DataFrame | None = None, per_language: int = 400, words: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row.
 
     held_out rows have CRC-32 of doc_id as text equal to 2 modulo 4 (a null doc_id counts as the empty text);
-    the model learns from the others only, from text and lang that are not null, of train_on or else docs. A
+    the model learns from the others only, from text and lang that are not null, of train_on or else docs: from
+    a run of at most `words` words of at most `per_language` rows of each language. A
     prediction uses the whole text and nothing else. lang_pred is a learned label, or `und` with score 0 where
     the text is null or has no letters, or where nothing could be learned. Repeated rows get equal rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs if train_on is None else train_on, per_language, id_col, text_col, lang_col))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs if train_on is None else train_on, per_language, words, id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held(id_col).alias("held_out"), _letters(text_col).alias("has_letters"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(model), PREDICTED)
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.4, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.4, per_language: int = 400, words: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language is identified with at least that score, with all their columns; null and letterless texts go. No shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, id_col, text_col, lang_col))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, words, id_col, text_col, lang_col))
     return docs.select("*", _letters(text_col).alias(free_name(docs, "_has_letters")), F.col(text_col).alias(free_name(docs, "_text"))).mapInArrow(_keep(model, least_score), docs.schema)
