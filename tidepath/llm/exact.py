@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stage
 
+SALTS = 16
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -68,18 +69,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     recipes = stage(chunk_recipes(docs, id_col, text_col, pattern), "recipes")
     groups = recipes.groupBy("recipe").agg(F.min(F.struct((-F.col("n_points")).alias("n"), "doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"), "text_hash"
-    )
+    # a group of very many copies is dealt over SALTS tasks; texts without a copy need no group
+    several = groups.filter("group_size > 1").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    placed = recipes.withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int")).join(several, ["recipe", "salt"], "left")
+    alone = F.col("group_size").isNull()
+    return placed.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row_id") == F.col("best.row_id"))).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"), "text_hash",
+    )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, one of each group of equal texts, with all their columns, whatever their names.
 
-    Of rows that repeat both doc_id and text one stays; null ids are equal.
+    Of rows that repeat both doc_id and text one stays; null ids are equal. The keys that go are written first:
+    where they are few, as Spark finds by their size, no text is shuffled.
     """
-    own, kept_id, kept_hash = (free_name(docs, c) for c in ("_text_hash", "_kept_id", "_kept_hash"))
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
-    keyed = docs.withColumn(own, F.xxhash64(text_col))
-    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash)), "left_semi")
-    return found.dropDuplicates([id_col, own]).drop(own)
+    own, key_id, key_hash = (free_name(docs, c) for c in ("_text_hash", "_kept_id", "_kept_hash"))
+    keys = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash)).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
+    keys = stage(keys.filter("n > n_kept"), "gone")
+    same = F.col(id_col).eqNullSafe(F.col(key_id)) & (F.xxhash64(text_col) == F.col(key_hash))
+    rest = docs.join(keys.select(key_id, key_hash), same, "left_anti")
+    repeated = stage(keys.filter("n_kept > 0").select(key_id, key_hash), "repeated")
+    if repeated.isEmpty():
+        return rest
+    one = docs.join(repeated, same, "left_semi").withColumn(own, F.xxhash64(text_col)).dropDuplicates([id_col, own]).drop(own)
+    return rest.unionByName(one)
