@@ -47,14 +47,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     source. A source with target t takes t // size whole epochs, then documents in order up to the exact
     remainder; the document at the cut gives only its first words. Null texts have size 0 and take 0; null
     sources are one source; repeated rows are cut one after the other. Reruns agree: the key depends on the
-    seed and doc_id alone (rows that repeat a doc_id are ordered by size). row_col is kept as own_row.
+    seed and doc_id alone (rows that repeat a doc_id are ordered by size, then by a hash of the text). row_col is
+    kept as own_row. An empty table gives no rows.
     """
     own = [] if row_col is None else ["own_row"]
     sized = (
-        docs.select(*[F.col(row_col).alias(c) for c in own], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+        docs.select(*[F.col(row_col).alias(c) for c in own], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_col).alias("text_hash"))
         .withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-        .repartitionByRange("source", "key", "doc_id", "size")
-        .sortWithinPartitions("source", "key", "doc_id", "size")
+    )
+    # range sorting looks at its input twice: words are counted once, before it
+    sized = (
+        stage(sized, "counted")
+        .repartitionByRange("source", "key", "doc_id", "size", "text_hash")
+        .sortWithinPartitions("source", "key", "doc_id", "size", "text_hash")
         .select(*own, "doc_id", "source", "size", "key", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("row_id"))
     )
     sized = stage(sized, "sized")
@@ -73,23 +78,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def apply_mix(docs: DataFrame, mix: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: docs' columns plus epoch (from 0) and taken (words of this copy), a row per copy of a document.
+    """The mixed corpus: docs' columns plus epoch (from 0) and taken (words of this copy), a row per copy of a document; where docs has columns of these names the new ones get underscores.
 
-    A copy that the cut falls in keeps only its first words. doc_id must be unique and not null in docs;
-    documents of which nothing is taken are left out.
+    A copy that the cut falls in keeps only its first words. id_col must be unique and not null in docs (`mixed`
+    takes any table); documents of which nothing is taken are left out.
     """
-    own_id, own_size = free_name(docs, "_mix_id"), free_name(docs, "_mix_size")
+    own_id, own_size, epoch, taken = (free_name(docs, c) for c in ("_mix_id", "_mix_size", "epoch", "taken"))
     copies = mix.filter("taken > 0 and size > 0").select(
-        F.col("doc_id").alias(own_id), F.col("size").alias(own_size), F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")).cast("long")), lambda e: F.least(F.col("size"), F.col("taken") - e * F.col("size")))).alias("epoch", "taken")
+        F.col("doc_id").alias(own_id), F.col("size").alias(own_size), F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")).cast("long")), lambda e: F.least(F.col("size"), F.col("taken") - e * F.col("size")))).alias(epoch, taken)
     )
-    head = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(taken as int)), ' ')")
-    joined = docs.drop("epoch", "taken").join(copies, F.col(id_col) == F.col(own_id))
-    return joined.withColumn(text_col, F.when(F.col("taken") < F.col(own_size), head).otherwise(F.col(text_col))).drop(own_id, own_size)
+    head = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(`{taken}` as int)), ' ')")
+    joined = docs.join(copies, F.col(id_col) == F.col(own_id))
+    return joined.withColumn(text_col, F.when(F.col(taken) < F.col(own_size), head).otherwise(F.col(text_col))).drop(own_id, own_size)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixed corpus of docs row by row: rows that repeat a doc_id or have none are cut and copied like any other."""
     row = free_name(docs, "_row")
     rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # written before use, so that numbers stay
-    mix = mix_sources(rows, row_col=row).withColumn("doc_id", F.col("own_row"))
+    mix = mix_sources(rows, row_col=row).filter("taken > 0").select(F.col("own_row").alias("doc_id"), "size", "taken")
     return apply_mix(rows, stage(mix, "mix"), id_col=row).drop(row)
