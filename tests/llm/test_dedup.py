@@ -101,6 +101,18 @@ def test_substring_periodic_text_and_null_ids(spark):
     assert {(r[0], r[1], r[2]) for r in got} == {(1, 200, 0), (2, 90, 90), (None, 90, 0), (3, 49, 0)}
 
 
+def test_substring_hot_passage(spark, rows):
+    """Minimizers that are too much for a shard are taken apart, and nothing changes."""
+    rng = random.Random(3)
+    passage = sentence(rng, 56)
+    hot = [(2000 + i, f"{sentence(rng, rng.randrange(0, 40))} {passage} {sentence(rng, rng.randrange(0, 40))}") for i in range(60)]
+    hot += [(2100 + i, hot[i][1] + " end") for i in range(5)] + [(2200, "na " * 200), (2201, "na " * 120), hot[3]]
+    frame = table(spark, rows + hot)
+    got = sorted(tuple(r) for r in substring.substring_dedup(frame, shard_words=600).collect())
+    assert got == sorted(brute_windows(rows + hot, 50))
+    assert got == sorted(tuple(r) for r in substring.substring_dedup(frame).collect())
+
+
 def test_fm_index_counts(spark):
     rng = np.random.default_rng(0)
     seq = np.append(rng.integers(1, 5, 300), 0)
@@ -146,6 +158,19 @@ def test_near(spark, rows):
     got = neardup.near_duplicates(table(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    # the exact way, without sketches, and hubs in many small rounds
+    again = neardup.near_duplicates(table(spark, rows), sketch_slack=None, more_hubs=1).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_near_copies_without_ids(spark):
+    rng = random.Random(5)
+    w = sentence(rng, 100).split()
+    near = [" ".join([*w[:i], "odd", *w[i + 1 :]]) for i in (10, 50, 90)]
+    other = sentence(rng, 60)
+    stay = sorted(r.text for r in neardup.drop_near_copies(table(spark, [(None, t) for t in near] + [(None, other), (5, other + " x"), (5, other + " y")])).collect())
+    # of three near copies without an id one stays; of those with one the smallest, and of two rows of one id one
+    assert len(stay) == 2 and len(set(stay) & set(near)) == 1 and any(t.startswith(other) and t != other for t in stay)
 
 
 def test_near_chain_through_the_middle(spark):
