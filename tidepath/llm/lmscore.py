@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import Words, mix, raw_column, split_rows, words_of
+from .tokens import mix, raw_column, split_rows, words_of
 
 #: Classes, and tokens in each: at least LEAST_SIDE, and GROWTH times the fifth root of the number of distinct words, so tokens grow with its power of 2/5.
 LEAST_SIDE, GROWTH = 32, 3.3
@@ -158,86 +158,117 @@ class Network:
 
     def log_probs(self, around: np.ndarray, token: np.ndarray, learn: float = 0.0) -> np.ndarray:
         """Log probability of each token given its context; with learn, a gradient step of that rate follows."""
-        h = self.hidden(around)
         side = len(self.words)
-        cls, word = token // side, token % side
+        cls = token // side
+        # by class, so that each class's words are one product
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        around, cls, word = around[order], cls[order], (token % side)[order]
+        edges = np.searchsorted(cls, np.arange(side + 1))
+        parts = [(c, edges[c], edges[c + 1]) for c in range(side) if edges[c + 1] > edges[c]]
+        h = self.hidden(around)
         rows = np.arange(len(token))
-        score = h @ self.classes
-        score -= score.max(axis=1, keepdims=True)
-        p = np.exp(score)
-        total = p.sum(axis=1, keepdims=True)
-        p /= total
-        out = score[rows, cls] - np.log(total[:, 0])
-        back = np.zeros_like(h)
+        p, q = h @ self.classes, np.empty((len(token), side), dtype=np.float32)
+        for c, lo, hi in parts:
+            np.matmul(h[lo:hi], self.words[c], out=q[lo:hi])
+        out = np.empty(len(token), dtype=np.float32)
+        out[order] = _softmax(p, rows, cls) + _softmax(q, rows, word)
         if learn:
             p[rows, cls] -= 1
+            q[rows, word] -= 1
             back = p @ self.classes.T
             self.classes -= learn * (h.T @ p)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(side + 1))
-        for c in range(side):
-            part = order[edges[c] : edges[c + 1]]
-            if not len(part):
-                continue
-            hp = h[part]
-            score = hp @ self.words[c]
-            score -= score.max(axis=1, keepdims=True)
-            q = np.exp(score)
-            total = q.sum(axis=1, keepdims=True)
-            q /= total
-            n = np.arange(len(part))
-            out[part] += score[n, word[part]] - np.log(total[:, 0])
-            if learn:
-                q[n, word[part]] -= 1
-                back[part] += q @ self.words[c].T
-                self.words[c] -= learn * (hp.T @ q)
-        if learn:
-            grad = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
-            self.bias -= learn * grad.sum(axis=0)
-            # rows of equal position and token are added up before they are taken off
-            flat = (around + np.arange(2 * REACH) * self.context.shape[1]).ravel()
-            order = np.argsort(flat)
-            flat = flat[order]
-            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            self.context.reshape(-1, HIDDEN)[flat[first]] -= learn * np.add.reduceat(grad[order // (2 * REACH)], first)
+            for c, lo, hi in parts:
+                back[lo:hi] += q[lo:hi] @ self.words[c].T
+                self.words[c] -= learn * (h[lo:hi].T @ q[lo:hi])
+            grad = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2) * np.float32(learn)
+            self.bias -= grad.sum(axis=0)
+            # what equal tokens at a position lose is added up before it is taken off
+            narrow = around.astype(np.uint16 if side < 255 else np.uint32)
+            for j in range(2 * REACH):
+                order = np.argsort(narrow[:, j], kind="stable")
+                own = narrow[order, j]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                self.context[j][own[first]] -= np.add.reduceat(grad[order], first)
         return out
 
 
-def _contexts(tokens: np.ndarray, rows: np.ndarray, which: np.ndarray, outside: int) -> np.ndarray:
-    """The tokens around the places `which`, `outside` where their row has none."""
-    out = np.full((len(which), 2 * REACH), outside, dtype=np.int64)
-    for j, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        at = which + d
-        inside = (at >= 0) & (at < len(tokens))
-        inside[inside] = rows[at[inside]] == rows[which[inside]]
-        out[inside, j] = tokens[at[inside]]
+def _softmax(scores: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log probabilities of the chosen columns; scores become probabilities, in place."""
+    scores -= scores.max(axis=1, keepdims=True)
+    chosen = scores[rows, which]
+    np.exp(scores, out=scores)
+    total = scores.sum(axis=1, keepdims=True)
+    scores /= total
+    return chosen - np.log(total[:, 0])
+
+
+def contexts(tokens: np.ndarray, rows: np.ndarray, outside: int) -> np.ndarray:
+    """The tokens around each place, `outside` where its row has none."""
+    out = np.full((len(tokens), 2 * REACH), outside, dtype=np.int32)
+    for j in range(REACH):
+        d = REACH - j
+        same = rows[d:] == rows[:-d] if len(rows) > d else np.zeros(0, dtype=bool)
+        out[d:, j][same] = tokens[:-d][same]
+        out[: len(tokens) - d, 2 * REACH - 1 - j][same] = tokens[d:][same]
     return out
 
 
+_TOKENS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32())), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+TOKENS = "row_id long, doc_id long, tokens array<int>, rare array<long>, times array<int>"
+
+
+def _tokenise(shared):
+    """Each row's tokens, and its distinct rare words with how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        for batch in batches:  # row_id, doc_id, text
+            data, offs = raw_column(batch.column(2))
+            for lo, hi in split_rows(offs):
+                words = words_of(data, offs, lo, hi)
+                h, rows = words.hashes(lower=True), words.rows
+                tokens = vocabulary.tokens(h)
+                rare = np.flatnonzero(tokens >= vocabulary.own)
+                by = np.argsort(h[rare])
+                rare = rare[by[np.argsort(rows[rare][by].astype(np.uint32), kind="stable")]]
+                hr, rr = h[rare], rows[rare]
+                first = np.flatnonzero(np.concatenate([[True], (hr[1:] != hr[:-1]) | (rr[1:] != rr[:-1])])) if len(rare) else rare
+                times = np.diff(np.concatenate([first, [len(rare)]])).astype(np.int32) if len(rare) else np.zeros(0, dtype=np.int32)
+                ends = pa.array(np.searchsorted(rr[first], np.arange(hi - lo + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(tokens.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(hr[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], schema=_TOKENS)
+
+    return run
+
+
+def _slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, tokens, bounds of the rows) of slices of about `most` tokens, or of one longer row."""
+    lens = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens, bounds = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lens)])
+    for lo, hi in split_rows(bounds, most):
+        yield lo, hi, tokens[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
+
+
 _PARAMS = pa.schema([("block", pa.int64()), ("weight", pa.float64()), ("v", pa.list_(pa.float32()))])
 
 
-def trained(words: Words, turn: int, rounds: int) -> np.ndarray:
-    """The places that train in a round: over all rounds every place is in one of them."""
-    rows = words.rows
-    place = np.arange(len(rows)) - words.first[rows]
-    return np.flatnonzero((place + rows + turn) % rounds == 0)
+def trained(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places that train in a round, of rows with bounds `first`: over all rounds every place is in one of them."""
+    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.flatnonzero((np.arange(len(rows)) - first[rows] + rows + turn) % rounds == 0)
 
 
 def _train(shared, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = shared.value
-        net, seen = Network.unflat(flat, vocabulary.side), 0
+        side, flat = shared.value
+        net, seen = Network.unflat(flat, side), 0
         for batch in batches:
-            data, offs = raw_column(batch.column(0))
-            for lo, hi in split_rows(offs):
-                words = words_of(data, offs, lo, hi)
-                h = words.hashes(lower=True)
-                tokens, rows = vocabulary.tokens(h), words.rows
-                which = trained(words, turn, rounds)
+            for _, _, tokens, first in _slices(batch.column(0)):
+                around = contexts(tokens, np.repeat(np.arange(len(first) - 1), np.diff(first)), side**2)
+                which = trained(first, turn, rounds)
                 for at in range(0, len(which), BATCH):
                     part = which[at : at + BATCH]
-                    net.log_probs(_contexts(tokens, rows, part, vocabulary.size), tokens[part], STEP * 16 / BATCH)
+                    net.log_probs(around[part], tokens[part], STEP * 16 / BATCH)
                     seen += len(part)
         if seen:
             flat = net.flat()
@@ -248,75 +279,71 @@ def _train(shared, turn: int, rounds: int):
     return run
 
 
-def train_network(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Rounds of local steps and averaging. The driver gets the average alone, which has the model's size."""
-    net = Network.fresh(vocabulary.side)
-    spark = texts.sparkSession
+def train_network(tokens: DataFrame, side: int, rounds: int = ROUNDS) -> Network:
+    """Rounds of local steps and averaging over rows of tokens. The driver gets the average alone, which has the model's size."""
+    net = Network.fresh(side)
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((vocabulary, net.flat()))
-        parts = texts.mapInArrow(_train(shared, turn, rounds), "block long, weight double, v array<float>")
+        shared = tokens.sparkSession.sparkContext.broadcast((side, net.flat()))
+        parts = tokens.select("tokens").mapInArrow(_train(shared, turn, rounds), "block long, weight double, v array<float>")
         sums = [F.sum(F.col("weight") * F.col("v")[i]).alias(f"s{i}") for i in range(BLOCK)]
         mean = parts.groupBy("block").agg(F.sum("weight").alias("w"), *sums).select("block", *[(F.col(f"s{i}") / F.col("w")).cast("float") for i in range(BLOCK)])
         rows = sorted(tuple(r) for r in mean.collect())
         if not rows:
             break
-        net = Network.unflat(np.array([r[1:] for r in rows], dtype=np.float32).ravel(), vocabulary.side)
+        net = Network.unflat(np.array([r[1:] for r in rows], dtype=np.float32).ravel(), side)
     return net
 
 
-_SCORES = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("total", pa.float64()), ("word", pa.int64()), ("times", pa.int64())])
-SCORES = "row_id long, doc_id long, n_tokens long, total double, word long, times long"
+_SCORES = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("total", pa.float64())])
+SCORES = "row_id long, doc_id long, n_tokens long, total double"
 
 
 def _score(shared):
-    """For each row one with its tokens' log probabilities, less the logs of the buckets' sums, and one for each of its distinct rare words."""
+    """The sum of each row's tokens' log probabilities, less the logs of the buckets' sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = shared.value
         net = Network.unflat(flat, vocabulary.side)
         whole = np.concatenate([np.zeros(vocabulary.own), np.log(vocabulary.totals + 1)])
-        for batch in batches:  # row_id, doc_id, text
-            data, offs = raw_column(batch.column(2))
-            for lo, hi in split_rows(offs):
-                words = words_of(data, offs, lo, hi)
-                h = words.hashes(lower=True)
-                tokens, rows = vocabulary.tokens(h), words.rows
-                logs = np.zeros(len(tokens))
-                for at in range(0, len(tokens), 32768):
-                    part = np.arange(at, min(at + 32768, len(tokens)))
-                    logs[part] = net.log_probs(_contexts(tokens, rows, part, vocabulary.size), tokens[part])
+        for batch in batches:  # row_id, doc_id, tokens
+            for lo, hi, tokens, first in _slices(batch.column(2)):
+                rows = np.repeat(np.arange(hi - lo), np.diff(first))
+                around, logs = contexts(tokens, rows, vocabulary.size), np.zeros(len(tokens))
+                for at in range(0, len(tokens), 16384):
+                    logs[at : at + 16384] = net.log_probs(around[at : at + 16384], tokens[at : at + 16384])
                 logs -= whole[tokens]
-                n, ids = hi - lo, batch.column(0).slice(lo, hi - lo).to_numpy()
-                # a row's own entry is no word; any key serves, so they spread over the join
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1).slice(lo, n), pa.array(np.diff(words.first)), pa.array(np.bincount(rows, logs, n)), pa.array(mix(ids.view(np.uint64).copy()).view(np.int64)), pa.array(np.zeros(n, dtype=np.int64))], schema=_SCORES)
-                rare = np.flatnonzero(tokens >= vocabulary.own)
-                rare = rare[np.lexsort((h[rare], rows[rare]))]
-                if len(rare):
-                    first = np.flatnonzero(np.concatenate([[True], (h[rare][1:] != h[rare][:-1]) | (rows[rare][1:] != rows[rare][:-1])]))
-                    times, rare = np.diff(np.concatenate([first, [len(rare)]])), rare[first]
-                    none = pa.nulls(len(rare), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[rare]]), none, none, pa.nulls(len(rare), pa.float64()), pa.array(h[rare].view(np.int64)), pa.array(times)], schema=_SCORES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(np.bincount(rows, logs, hi - lo))], schema=_SCORES)
 
     return run
 
 
-def score_documents(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """row_id, doc_id, tokens, rare, times of each row, staged: texts are split and hashed once for all rounds."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return stage(rows.mapInArrow(_tokenise(shared), TOKENS), "tokens")
+
+
+def score_documents(docs: DataFrame, train_on: DataFrame | None = None, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_prob: one row per input row.
 
     log_likelihood sums the log probability of every word given the words around it, over the whole text. A
     rare word has its bucket's probability times its share n / (N + 1) of the bucket's N counted words; one
     that train_on does not have counts as one. Null and empty texts have no tokens, likelihood 0 and a null
     mean. Repeated rows get equal rows and weigh as often in training. An empty table gives no rows. The
-    vocabulary counts every word of train_on (or docs), and every position of every document
-    trains the network in one of the rounds.
+    vocabulary counts every word of train_on (or docs), and every position of every document trains the network
+    in one of the rounds. Within a round each task takes its own steps and their parameters are averaged, so
+    scores depend a little on how rows are dealt over tasks; with rows dealt alike a rerun gives the same scores.
     """
-    spark = docs.sparkSession
-    texts = (docs if train_on is None else train_on).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = count_words(texts)
+    source = docs if train_on is None else train_on
+    counts = count_words(source.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     vocabulary = build_vocabulary(counts)
-    net = train_network(texts, vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, net.flat()))
-    parts = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(shared), SCORES)
-    share = F.when(F.col("times") > 0, F.col("times") * F.log(F.coalesce("n", F.lit(1)).cast("double"))).otherwise(F.col("total"))
-    rows = parts.join(counts, "word", "left").groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(share).alias("log_likelihood"))
+    tokens = tokenise(docs, vocabulary, id_col, text_col)
+    net = train_network(tokens if train_on is None else tokenise(train_on, vocabulary, id_col, text_col), vocabulary.side, rounds)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
+    totals = tokens.select("row_id", "doc_id", "tokens").mapInArrow(_score(shared), SCORES)
+    words = tokens.select("row_id", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("w")).select("row_id", "w.word", "w.times")
+    # a word that occurs once has the log 0 and needs no row
+    shares = words.join(counts.filter("n > 1"), "word").groupBy("row_id").agg(F.sum(F.col("times") * F.log(F.col("n").cast("double"))).alias("share"))
+    rows = totals.join(shares, "row_id", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("share", F.lit(0.0)))
     return rows.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))
