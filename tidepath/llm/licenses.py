@@ -21,36 +21,91 @@ SENTENCES = {
     10: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     11: "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     12: "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    13: "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    14: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    15: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    16: "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    17: "This software is provided 'as-is', without any express or implied warranty.",
+    18: "In no event will the authors be held liable for any damages arising from the use of this software.",
+    19: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     20: "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     21: "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     22: "See the License for the specific language governing permissions and limitations under the License.",
+    23: "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    25: "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    26: "Distributed under the Boost Software License, Version 1.0.",
+    27: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    28: "This is free and unencumbered software released into the public domain.",
+    29: "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     30: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     31: "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     32: "See the GNU General Public License for more details.",
+    33: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    34: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    35: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    36: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    37: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     40: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     41: "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     42: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     43: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    44: "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     50: "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     51: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    52: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    53: "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    54: "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    55: "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    56: "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     60: "This work is dedicated to the public domain.",
+    61: "This project is licensed under the MIT License.",
+    62: "This project is licensed under the Apache License 2.0.",
+    63: "This project is licensed under the BSD 3-Clause License.",
 }
 # Rules in the order they apply.
 RULES = [
-    ("mit-full", "MIT", (10, 11, 12)),
-    ("apache-header", "Apache-2.0", (20, 21, 22)),
+    ("mit-full", "MIT", (10, 11, 12, 13)),
+    ("mit-terms", "MIT", (10, 11, 12)),
+    ("isc-full", "ISC", (14, 16)),
+    ("0bsd-full", "0BSD", (15, 16)),
+    ("zlib-full", "Zlib", (17, 18, 19)),
+    ("apache-header", "Apache-2.0", (20, 21, 23, 22)),
+    ("apache-header-short", "Apache-2.0", (20, 21, 22)),
+    ("mpl2-header", "MPL-2.0", (25,)),
+    ("unlicense-full", "Unlicense", (28, 29)),
     ("gpl3-header", "GPL-3.0-or-later", (30, 31, 32)),
+    ("gpl2-header", "GPL-2.0-or-later", (33, 31, 32)),
+    ("gpl2-only-header", "GPL-2.0-only", (34, 31, 32)),
+    ("bsd-3-full", "BSD-3-Clause", (40, 41, 42, 43, 44)),
     ("bsd-3", "BSD-3-Clause", (40, 41, 42, 43)),
+    ("bsd-2-full", "BSD-2-Clause", (40, 41, 42, 44)),
     ("bsd-2", "BSD-2-Clause", (40, 41, 42)),
     ("mit-short", "MIT", (10, 11)),
+    ("isc-start", "ISC", (14,)),
     ("apache-start", "Apache-2.0", (20,)),
+    ("unlicense-start", "Unlicense", (28,)),
     ("gpl3-start", "GPL-3.0-or-later", (30,)),
+    ("gpl2-start", "GPL-2.0-or-later", (33,)),
+    ("gpl2-only-start", "GPL-2.0-only", (34,)),
+    ("lgpl21-start", "LGPL-2.1-or-later", (35,)),
+    ("lgpl3-start", "LGPL-3.0-or-later", (36,)),
+    ("agpl3-start", "AGPL-3.0-or-later", (37,)),
+    ("boost-notice", "BSL-1.0", (26,)),
+    ("epl2-notice", "EPL-2.0", (27,)),
     ("mit-notice", "MIT", (1,)),
+    ("mit-project", "MIT", (61,)),
     ("apache-notice", "Apache-2.0", (2,)),
+    ("apache-project", "Apache-2.0", (62,)),
+    ("bsd-3-project", "BSD-3-Clause", (63,)),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", (3,)),
     ("gpl3-notice", "GPL-3.0-only", (4,)),
     ("cc-by-notice", "CC-BY-4.0", (50,)),
     ("cc-by-sa-notice", "CC-BY-SA-4.0", (51,)),
+    ("cc-by-nc-full", "CC-BY-NC-4.0", (52,)),
+    ("cc-by-nd-notice", "CC-BY-ND-4.0", (53,)),
+    ("cc-by-nc-sa-notice", "CC-BY-NC-SA-4.0", (54,)),
+    ("cc-by-nc-nd-notice", "CC-BY-NC-ND-4.0", (55,)),
+    ("cc0-notice", "CC0-1.0", (56,)),
     ("public-domain", "Public-Domain", (60,)),
 ]
 SPLIT = r"(?<=[.!?;:])[\x20\x09-\x0D]+|[\x0A-\x0D]+"

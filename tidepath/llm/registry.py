@@ -134,20 +134,119 @@ FROM u LEFT JOIN h USING (page_id) GROUP BY u.page_id, u.host
 }
 
 
-def _license_oracle() -> str:
-    from .licenses import RULES, SENTENCES, split_known
+#: Literal pieces, rules and splits, apart from the operator's own.
+_LICENSE_PIECES = """
+  (0, 'released under the mit license'),
+  (1, 'licensed under the apache license version 2 0'),
+  (2, 'licensed under cc by nc 4 0'),
+  (3, 'this work is licensed under the gnu general public license version 3'),
+  (4, 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions'),
+  (5, 'the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software'),
+  (6, 'the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement'),
+  (7, 'in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software'),
+  (8, 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies'),
+  (9, 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted'),
+  (10, 'the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness'),
+  (11, 'this software is provided as is without any express or implied warranty'),
+  (12, 'in no event will the authors be held liable for any damages arising from the use of this software'),
+  (13, 'permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions'),
+  (14, 'licensed under the apache license version 2 0 the license'),
+  (15, 'you may not use this file except in compliance with the license'),
+  (16, 'you may obtain a copy of the license at http www apache org licenses license 2 0'),
+  (17, 'see the license for the specific language governing permissions and limitations under the license'),
+  (18, 'unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied'),
+  (19, 'if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0'),
+  (20, 'distributed under the boost software license version 1 0'),
+  (21, 'this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0'),
+  (22, 'this is free and unencumbered software released into the public domain'),
+  (23, 'anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means'),
+  (24, 'this program is free software'),
+  (25, 'you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version'),
+  (26, 'this program is distributed in the hope that it will be useful but without any warranty'),
+  (27, 'without even the implied warranty of merchantability or fitness for a particular purpose'),
+  (28, 'see the gnu general public license for more details'),
+  (29, 'you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation'),
+  (30, 'either version 2 of the license or at your option any later version'),
+  (31, 'you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation'),
+  (32, 'this library is free software'),
+  (33, 'you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation'),
+  (34, 'either version 2 1 of the license or at your option any later version'),
+  (35, 'you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version'),
+  (36, 'you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version'),
+  (37, 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  (38, 'redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer'),
+  (39, 'redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution'),
+  (40, 'neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission'),
+  (41, 'this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed'),
+  (42, 'this work is licensed under a creative commons attribution 4 0 international license'),
+  (43, 'this work is licensed under a creative commons attribution sharealike 4 0 international license'),
+  (44, 'this work is licensed under a creative commons attribution noncommercial 4 0 international license'),
+  (45, 'this work is licensed under a creative commons attribution noderivatives 4 0 international license'),
+  (46, 'this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license'),
+  (47, 'this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license'),
+  (48, 'to the extent possible under law the author has waived all copyright and related or neighboring rights to this work'),
+  (49, 'this work is dedicated to the public domain'),
+  (50, 'this project is licensed under the mit license'),
+  (51, 'this project is licensed under the apache license 2 0'),
+  (52, 'this project is licensed under the bsd 3 clause license')
+"""
+_LICENSE_RULES = [
+    ("mit-full", "MIT", ",4,,5,,6,,7,"),
+    ("mit-terms", "MIT", ",4,,5,,6,"),
+    ("isc-full", "ISC", ",8,,10,"),
+    ("0bsd-full", "0BSD", ",9,,10,"),
+    ("zlib-full", "Zlib", ",11,,12,,13,"),
+    ("apache-header", "Apache-2.0", ",14,,15,,16,,18,,17,"),
+    ("apache-header-short", "Apache-2.0", ",14,,15,,16,,17,"),
+    ("mpl2-header", "MPL-2.0", ",19,"),
+    ("unlicense-full", "Unlicense", ",22,,23,"),
+    ("gpl3-header", "GPL-3.0-or-later", ",24,,25,,26,,27,,28,"),
+    ("gpl2-header", "GPL-2.0-or-later", ",24,,29,,30,,26,,27,,28,"),
+    ("gpl2-only-header", "GPL-2.0-only", ",24,,31,,26,,27,,28,"),
+    ("bsd-3-full", "BSD-3-Clause", ",37,,38,,39,,40,,41,"),
+    ("bsd-3", "BSD-3-Clause", ",37,,38,,39,,40,"),
+    ("bsd-2-full", "BSD-2-Clause", ",37,,38,,39,,41,"),
+    ("bsd-2", "BSD-2-Clause", ",37,,38,,39,"),
+    ("mit-short", "MIT", ",4,,5,"),
+    ("isc-start", "ISC", ",8,"),
+    ("apache-start", "Apache-2.0", ",14,,15,"),
+    ("unlicense-start", "Unlicense", ",22,"),
+    ("gpl3-start", "GPL-3.0-or-later", ",24,,25,"),
+    ("gpl2-start", "GPL-2.0-or-later", ",24,,29,,30,"),
+    ("gpl2-only-start", "GPL-2.0-only", ",24,,31,"),
+    ("lgpl21-start", "LGPL-2.1-or-later", ",32,,33,,34,"),
+    ("lgpl3-start", "LGPL-3.0-or-later", ",24,,35,"),
+    ("agpl3-start", "AGPL-3.0-or-later", ",24,,36,"),
+    ("boost-notice", "BSL-1.0", ",20,"),
+    ("epl2-notice", "EPL-2.0", ",21,"),
+    ("mit-notice", "MIT", ",0,"),
+    ("mit-project", "MIT", ",50,"),
+    ("apache-notice", "Apache-2.0", ",1,"),
+    ("apache-project", "Apache-2.0", ",51,"),
+    ("bsd-3-project", "BSD-3-Clause", ",52,"),
+    ("cc-by-nc-notice", "CC-BY-NC-4.0", ",2,"),
+    ("gpl3-notice", "GPL-3.0-only", ",3,"),
+    ("cc-by-notice", "CC-BY-4.0", ",42,"),
+    ("cc-by-sa-notice", "CC-BY-SA-4.0", ",43,"),
+    ("cc-by-nc-full", "CC-BY-NC-4.0", ",44,"),
+    ("cc-by-nd-notice", "CC-BY-ND-4.0", ",45,"),
+    ("cc-by-nc-sa-notice", "CC-BY-NC-SA-4.0", ",46,"),
+    ("cc-by-nc-nd-notice", "CC-BY-NC-ND-4.0", ",47,"),
+    ("cc0-notice", "CC0-1.0", ",48,"),
+    ("public-domain", "Public-Domain", ",49,"),
+]
 
-    pieces, parts = split_known(SENTENCES)
+
+def _license_oracle() -> str:
     steps, left = [], "seq"
-    for k, (_, _, ids) in enumerate(RULES):
-        pattern = "".join(f",{p}," for i in ids for p in parts[i])
+    for k, (_, _, pattern) in enumerate(_LICENSE_RULES):
         steps.append(f"contains({left}, '{pattern}') AS r{k}")
         left = f"replace({left}, '{pattern}', '|')"
-    names = lambda n: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN r{k} THEN '{x[n]}' END" for k, x in enumerate(RULES)) + "], lambda x: x IS NOT NULL))), ',')"
+    names = lambda n: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN r{k} THEN '{x[n]}' END" for k, x in enumerate(_LICENSE_RULES)) + "], lambda x: x IS NOT NULL))), ',')"
     return rf"""
 WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[\x0A-\x0D]+') AS parts FROM documents),
 u AS (SELECT doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS pos FROM s),
-k(piece, norm) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in pieces)}),
+k(piece, norm) AS (VALUES {_LICENSE_PIECES}),
 h AS (SELECT doc_id, pos, piece FROM u JOIN k ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = norm),
 q AS (SELECT doc_id, ',' || string_agg(piece::VARCHAR, ',,' ORDER BY pos) || ',' AS seq, count(*)::INT AS n_sentences, min(pos)::INT AS first_sentence, max(pos)::INT AS last_sentence FROM h GROUP BY doc_id),
 r AS (SELECT *, {", ".join(steps)} FROM q)
