@@ -44,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: The language model, the links between near copies and the alignments are beyond SQL; tests/llm has a brute-force version.
+#: The language model, the links between near copies and the alignments are beyond SQL; tests/llm goes through all stages by brute force.
 ORACLE_SQL = None
 
 

@@ -112,27 +112,34 @@ def choose_landmarks(model: Model, count: int, seed: str = "landmarks") -> DataF
     return top.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("none", "key", "node_idx")) - 1).alias("landmark_pos"), F.col("node_idx").alias("landmark"))
 
 
+def _relax(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """way, source, node, distance: least sums of `bound` from each start (way, source) over steps (way, node, next, bound). All starts advance together, a staged table a round."""
+    best = stage(starts.select("way", "source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")), "distances")
+    steps = stage(steps, "steps")
+    while not best.filter("fresh").isEmpty():
+        reach = best.filter("fresh").join(steps, ["way", "node"]).select("way", "source", F.col("next").alias("node"), (F.col("distance") + F.col("bound")).alias("distance"), F.lit(True).alias("new"))
+        both = best.select("way", "source", "node", "distance", F.lit(False).alias("new")).unionByName(reach)
+        least = both.groupBy("way", "source", "node").agg(F.min("distance").alias("distance"), F.min(F.when(~F.col("new"), F.col("distance"))).alias("old"))
+        best = stage(least.select("way", "source", "node", "distance", (F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("fresh")), "distances")
+    return best.drop("fresh")
+
+
+def _steps(weights: DataFrame, backward: bool) -> DataFrame:
+    return weights.select(F.lit(backward).alias("way"), F.col("dest" if backward else "origin").alias("node"), F.col("origin" if backward else "dest").alias("next"), "bound")
+
+
 def distances(sources: DataFrame, weights: DataFrame, backward: bool = False) -> DataFrame:
-    """source, node, distance: least sums of `bound` from (or, backward, to) each source over edges of weights. All sources advance together."""
-    step = weights.select(F.col("dest" if backward else "origin").alias("node"), F.col("origin" if backward else "dest").alias("next"), "bound")
-    best = stage(sources.select(F.col("landmark").alias("source"), F.col("landmark").alias("node"), F.lit(0.0).alias("distance")), "distances")
-    front = best
-    while True:
-        reach = front.join(step, "node").groupBy("source", F.col("next").alias("node")).agg(F.min(F.col("distance") + F.col("bound")).alias("d"))
-        better = stage(reach.join(best, ["source", "node"], "left").filter("distance is null or d < distance").select("source", "node", F.col("d").alias("distance")), "distances")
-        if better.isEmpty():
-            return best
-        best = stage(best.unionByName(better).groupBy("source", "node").agg(F.min("distance").alias("distance")), "distances")
-        front = better
+    """source, node, distance: least sums of `bound` from (or, backward, to) each source (landmark) over edges of weights."""
+    return _relax(sources.select(F.lit(backward).alias("way"), F.col("landmark").alias("source")), _steps(weights, backward)).drop("way")
 
 
 def landmark_table(model: Model, count: int, seed: str = "landmarks") -> DataFrame:
-    """landmark_pos, landmark, node_idx, fwd, bwd: bound distances from and to each landmark; null where there is no way."""
+    """landmark_pos, landmark, node_idx, fwd, bwd: bound distances from and to each landmark, found together; null where there is no way."""
     marks = stage(choose_landmarks(model, count, seed), "landmarks")
-    weights = stage(bound_weights(model), "weights")
-    fwd = distances(marks, weights).select(F.col("source").alias("landmark"), F.col("node").alias("node_idx"), F.col("distance").alias("fwd"))
-    bwd = distances(marks, weights, True).select(F.col("source").alias("landmark"), F.col("node").alias("node_idx"), F.col("distance").alias("bwd"))
-    grid = fwd.join(bwd, ["landmark", "node_idx"], "full")
+    weights = bound_weights(model)
+    starts = marks.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("way"), F.col("landmark").alias("source"))
+    found = _relax(starts, _steps(weights, False).unionByName(_steps(weights, True)))
+    grid = found.groupBy(F.col("source").alias("landmark"), F.col("node").alias("node_idx")).agg(F.min(F.when(~F.col("way"), F.col("distance"))).alias("fwd"), F.min(F.when(F.col("way"), F.col("distance"))).alias("bwd"))
     return marks.join(grid, "landmark").select("landmark_pos", "landmark", "node_idx", "fwd", "bwd")
 
 

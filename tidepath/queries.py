@@ -774,6 +774,54 @@ def future_candidates(spark, d):
     return out["candidates"].drop("edge_path").join(marks, ["request_id", "signature"], "left").fillna(False)
 
 
+# futures on the network of regions, small enough for SQL to enumerate every path in every scenario
+_REGION = (
+    """edges AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY u, v) - 1)::INT AS edge_idx, u AS origin, v AS dest, (20 * (1 + n % 97))::FLOAT AS base_weight, (1 + u % 5)::INT AS profile_id
+  FROM (SELECT a.n_regionkey::INT AS u, b.n_regionkey::INT AS v, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY ALL))""",
+    S.PROFILES, S.UPDATES, S.OVERLAY, _SCEN, _SPRICED,
+    f"req AS (SELECT s.r_regionkey * 10 + t.r_regionkey AS q, s.r_regionkey::INT AS source, t.r_regionkey::INT AS target, {NOW}::BIGINT AS departure FROM region s, region t WHERE s.r_regionkey <> t.r_regionkey)",
+    f"""walk AS (WITH RECURSIVE w(q, target, sc, node, seen, path, g, t) AS (
+  SELECT q, target, sc, source, [source], []::INT[], 0::FLOAT, departure FROM req, sc
+  UNION ALL SELECT q, target, sc, dest, list_append(seen, dest), list_append(path, edge_idx), CASE WHEN g = 'inf'::FLOAT OR c = 'inf'::FLOAT THEN 'inf'::FLOAT ELSE (g::DOUBLE + c::DOUBLE)::FLOAT END, CASE WHEN g = 'inf'::FLOAT OR c = 'inf'::FLOAT THEN 9223372036854775807 ELSE t + ceil(c::DOUBLE)::BIGINT END
+  FROM (SELECT w.*, e.dest, e.edge_idx, CASE WHEN w.g = 'inf'::FLOAT OR {S.penalty('w.t', 'e.')} = 'inf'::FLOAT THEN 'inf'::FLOAT ELSE (e.base_weight::DOUBLE * ({S.lerp('w.t', 'e.buckets')})::DOUBLE * ({S.penalty('w.t', 'e.')})::DOUBLE)::FLOAT END AS c
+    FROM w JOIN priced e ON e.origin = w.node AND e.sc = w.sc WHERE w.node <> w.target AND NOT list_contains(w.seen, e.dest))) SELECT * FROM w WHERE node = target)""",
+    """opt AS MATERIALIZED (SELECT q, sc, arg_min(path, (g, t, path)) AS best, min(g) AS best_g FROM walk WHERE g < 'inf'::FLOAT GROUP BY ALL),
+runs AS MATERIALIZED (SELECT walk.q, walk.sc, p, path, g, t, best, best_g, sum(p) OVER (PARTITION BY walk.q, path ORDER BY g, walk.sc) AS cg, sum(p) OVER (PARTITION BY walk.q, path ORDER BY t, walk.sc) AS ct,
+  CASE WHEN g = 'inf'::FLOAT THEN 'inf'::DOUBLE WHEN best IS NULL THEN g::DOUBLE ELSE greatest(0.0, g::DOUBLE - best_g::DOUBLE) END AS regret FROM walk JOIN sc USING (sc) LEFT JOIN opt ON opt.q = walk.q AND opt.sc = walk.sc),
+every AS MATERIALIZED (SELECT q, path, CASE WHEN max(g) = 'inf'::FLOAT THEN 'inf'::DOUBLE ELSE sum(p * g::DOUBLE) END AS expected_cost, min(g) FILTER (WHERE cg + 1e-6 >= 0.5)::DOUBLE AS p50_cost, min(g) FILTER (WHERE cg + 1e-6 >= 0.9)::DOUBLE AS p90_cost, min(g)::DOUBLE AS min_cost, max(g)::DOUBLE AS max_cost, min(t) AS min_arrival, max(t) AS max_arrival,
+  min(t) FILTER (WHERE ct + 1e-6 >= 0.1) AS eta_low, min(t) FILTER (WHERE ct + 1e-6 >= 0.9) AS eta_high, sum(CASE WHEN path = best THEN p ELSE 0 END) AS optimality_probability, CASE WHEN max(regret) = 'inf'::DOUBLE THEN 'inf'::DOUBLE ELSE sum(p * regret) END AS expected_regret,
+  arg_max(sc, (coalesce(path = best, false), p, CASE WHEN path = best THEN 0 ELSE -regret END, sc)) AS dominant_scenario_id, min(g) < 'inf'::FLOAT AS possible FROM runs GROUP BY ALL),
+win AS MATERIALIZED (SELECT q, arg_min(path, (max_arrival, path[-1], path)) FILTER (WHERE expected_cost <= e + 1e-6 OR expected_cost = e) AS mean, arg_min(path, (max_arrival, path[-1], path)) FILTER (WHERE p90_cost <= r + 1e-6 OR p90_cost = r) AS safe FROM (SELECT *, min(expected_cost) OVER (PARTITION BY q) AS e, min(p90_cost) OVER (PARTITION BY q) AS r FROM every WHERE possible) GROUP BY q),
+cand AS MATERIALIZED (SELECT DISTINCT q, path FROM (SELECT q, best AS path FROM opt UNION ALL SELECT q, mean FROM win UNION ALL SELECT q, safe FROM win))""",
+)
+
+
+def _region_future(spark, d):
+    edges = stage(graphs.region_edges(spark, d), "edges")
+    m = Model(graphs.region_nodes(spark, d), edges, stage(graphs.event_profiles(spark, d), "profiles"), stage(graphs.trade_turns(edges).limit(0), "turns"))
+    s, t = (table(spark, d, "region").select(F.col("r_regionkey").alias(c)) for c in ("s", "t"))
+    asked = s.join(t, F.col("s") != F.col("t")).select((F.col("s") * 10 + F.col("t")).alias("request_id"), F.col("s").cast("int").alias("source"), F.col("t").cast("int").alias("target"), F.lit(NOW).cast("long").alias("departure"))
+    asked = stage(asked, "asked")
+    return future.future_routes(asked, m, *scenario_tables(spark, d, m, asked))
+
+
+@query(S.with_(*_REGION, body="""SELECT every.q AS request_id, 'E:' || array_to_string(every.path, ',') AS signature, round(expected_cost, 3) AS expected_cost, round(p50_cost, 3) AS p50_cost, round(p90_cost, 3) AS p90_cost, round(min_cost, 3) AS min_cost, round(max_cost, 3) AS max_cost, min_arrival, max_arrival, eta_low, eta_high, round(optimality_probability, 6) AS optimality_probability, round(expected_regret, 3) AS expected_regret,
+dominant_scenario_id, every.path = mean AS is_expected, every.path = safe AS is_robust FROM cand JOIN every ON every.q = cand.q AND every.path = cand.path JOIN win ON win.q = every.q"""))
+def future_scores(spark, d):
+    """Candidates between all regions with their scores over scenarios, and which of them win."""
+    out = _region_future(spark, d)
+    mark = lambda kind, name: out[kind].select("request_id", "signature", F.lit(True).alias(name))
+    rows = out["candidates"].join(mark("expected", "is_expected"), ["request_id", "signature"], "left").join(mark("robust", "is_robust"), ["request_id", "signature"], "left").fillna(False)
+    rows = rows.select("request_id", "signature", "expected_cost", "p50_cost", "p90_cost", "min_cost", "max_cost", "min_arrival", "max_arrival", "eta_low", "eta_high", "optimality_probability", "expected_regret", "dominant_scenario_id", "is_expected", "is_robust")
+    return rounded(rows, "optimality_probability").withColumns({c: F.round(F.col(c).cast("double"), 3) for c in ("expected_cost", "p50_cost", "p90_cost", "min_cost", "max_cost", "expected_regret")})
+
+
+@query(S.with_(*_REGION, body="""SELECT q AS request_id, n_optimal, n_unique, n_candidates, CASE WHEN n_candidates <= 1 THEN 'LOW_DENSITY' WHEN n_candidates > n_unique OR n_unique / n_optimal >= 0.75 THEN 'HIGH_DENSITY' ELSE 'LOW_DENSITY' END AS density_class
+FROM (SELECT q, count(*) AS n_optimal, count(DISTINCT best) AS n_unique FROM opt GROUP BY q) JOIN (SELECT q, count(*) AS n_candidates FROM cand GROUP BY q) USING (q)"""))
+def future_density(spark, d):
+    return _region_future(spark, d)["density"]
+
+
 @query(S.with_(*_FUTURE, S.search(_FREQ, LEVELS, True, False, True), "b AS (SELECT q, sc, arg_min(path, (cost, arrival, path)) AS path FROM r GROUP BY ALL)", body="SELECT x.q AS request_id, x.sc AS a, y.sc AS b, round(len(list_intersect(x.path, y.path)) / len(list_distinct(list_concat(x.path, y.path))), 6) AS overlap FROM b x JOIN b y ON x.q = y.q AND x.sc < y.sc"))
 def path_overlap(spark, d):
     m = small_model(spark, d)

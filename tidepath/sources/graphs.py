@@ -31,6 +31,22 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("edge_idx", F.format_string("E%d-%d", "origin", "dest").alias("edge_id"), "origin", "dest", (20 * (1 + F.col("n") % 97)).cast("float").alias("base_weight"), (1 + F.col("origin") % 5).alias("profile_id"))
 
 
+def region_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("r_regionkey")
+    return table(spark, sf_dir, "region").select(k.cast("int").alias("node_idx"), F.col("r_name").alias("node_id"), (k * 10).cast("double").alias("x"), (k * k).cast("double").alias("y"))
+
+
+def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade network by region: an edge from each supplier region to each other customer region, weighted like those of nations by the line items between them."""
+    t = lambda n: table(spark, sf_dir, n)
+    of = lambda key, name: t("nation").select(F.col("n_nationkey").alias(key), F.col("n_regionkey").cast("int").alias(name))
+    lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = lines.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = sold.groupBy("s_nationkey", "c_nationkey").agg(F.count(F.lit(1)).alias("n")).join(of("s_nationkey", "origin"), "s_nationkey").join(of("c_nationkey", "dest"), "c_nationkey")
+    edges = dense_ids(pairs.filter("origin <> dest").groupBy("origin", "dest").agg(F.sum("n").alias("n")), ["origin", "dest"], "edge_idx")
+    return edges.select("edge_idx", F.format_string("R%d-%d", "origin", "dest").alias("edge_id"), "origin", "dest", (20 * (1 + F.col("n") % 97)).cast("float").alias("base_weight"), (1 + F.col("origin") % 5).alias("profile_id"))
+
+
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile of 24 hourly buckets per event type: 1 + (events of the hour of day modulo 16) / 16, exact in float."""
     kind = F.col("event_type")

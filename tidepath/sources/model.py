@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timefn
@@ -69,14 +69,24 @@ class Model:
         return Model(read("nodes", NODES), edges, read("profiles", PROFILES), read("turns", TURNS), meta)
 
 
+def _ahead(rows: DataFrame, order: list[str], value: Column) -> DataFrame:
+    """rows with _before, the sum of `value` over all rows that come before each in a total order.
+
+    Rows are range-sorted and summed within their partitions; what the partitions before hold is a sum over one
+    number for each of them. No task sees all rows.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_value", value)
+    local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_local", F.coalesce(F.sum("_value").over(local), F.lit(0)))
+    sizes = placed.groupBy("_pid").agg(F.sum("_value").alias("_n"))
+    parts = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("_pid", F.coalesce(F.sum("_n").over(parts), F.lit(0)).alias("_ahead"))
+    return placed.join(ahead, "_pid").withColumn("_before", F.col("_ahead") + F.col("_local")).drop("_pid", "_value", "_local", "_ahead")
+
+
 def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Ids from 0 in a total order. One ordered pass over keys only is inherent to dense ids; partition counts keep it parallel: rows are range-sorted, and each partition's first id is a sum over the partitions before it."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order)
-    placed = placed.withColumn("_nth", F.row_number().over(w) - 1)
-    sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(ahead.select("_pid", "_ahead"), "_pid").withColumn(name, (F.col("_ahead") + F.col("_nth")).cast("int")).drop("_pid", "_nth", "_ahead")
+    """Ids from 0 in a total order."""
+    return _ahead(rows, order, F.lit(1)).withColumn(name, F.col("_before").cast("int")).drop("_before")
 
 
 def scaled_profiles(raw: DataFrame) -> DataFrame:
@@ -93,8 +103,7 @@ def csr_offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_idx, first_edge, next_edge: the range of edge indices that leave each node, edges being sorted by origin."""
     degree = edges.groupBy(F.col("origin").alias("node_idx")).agg(F.min("edge_idx").alias("low"), F.count(F.lit(1)).cast("int").alias("degree"))
     joined = nodes.select("node_idx").join(degree, "node_idx", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    before = Window.partitionBy(F.lit(0)).orderBy("node_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn("first_edge", F.coalesce(F.sum("degree").over(before), F.lit(0)).cast("int")).select("node_idx", "first_edge", (F.col("first_edge") + F.col("degree")).alias("next_edge"))
+    return _ahead(joined, ["node_idx"], F.col("degree")).select("node_idx", F.col("_before").cast("int").alias("first_edge"), (F.col("_before") + F.col("degree")).cast("int").alias("next_edge"))
 
 
 def origins_from_offsets(offsets: DataFrame) -> DataFrame:
