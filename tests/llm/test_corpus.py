@@ -131,6 +131,9 @@ def test_licenses(spark):
     s = licenses.SENTENCES
     rows = [(1, f"intro.\n{s[10]} {s[11]}\n\n{s[12]}", "en", "s"), (2, "This work is  licensed under the GNU general public license, VERSION 3!", "en", "s"), (3, "no licence here", "en", "s"), (4, None, "en", "s"), (5, f"{s[40]} {s[41]} {s[42]}", "en", "s"), (6, f"{s[41]} {s[40]}", "en", "s"), (7, f"{s[1]} x. {s[2]}", "en", "s"), (7, f"{s[1]} x. {s[2]}", "en", "s")]
     got = sorted((r.doc_id, r.licenses) for r in licenses.scan_licenses(docs(spark, rows)).collect())
+    more = [(20, f"{s[25]}", "MPL-2.0"), (21, f"{s[33]} {s[31]} {s[32]}", "GPL-2.0-or-later"), (22, f"{s[17]} {s[18]} {s[19]}", "Zlib"), (23, f"{s[14]} {s[16]}", "ISC"), (24, s[56], "CC0-1.0"), (25, s[37], "AGPL-3.0-or-later")]
+    assert sorted((r.doc_id, r.licenses) for r in licenses.scan_licenses(docs(spark, [(i, t, "en", "s") for i, t, _ in more] + [(26, None, "en", "s"), (27, "", "en", "s"), (28, "x " * 60_000 + ". " + s[28], "en", "s")])).collect()) == [(i, k) for i, _, k in more] + [(28, "Unlicense")]
+    assert licenses.scan_licenses(docs(spark, []).withColumn("steps", F.lit(1))).count() == 0
     assert got == [(1, "MIT"), (2, "GPL-3.0-only"), (5, "BSD-2-Clause"), (7, "Apache-2.0,MIT"), (7, "Apache-2.0,MIT")]
 
 
@@ -157,8 +160,8 @@ def test_wrapped_licenses(spark):
     rows += [(4 + i, commented(c), "", "s") for i, c in enumerate(["", "#", "//", " *", ";;"])]
     rows += [(9, f"Title\n{s[1]}\nmore text", "", "s"), (10, "a line. Released under\nthe MIT License\nx", "", "s"), (11, "Released. Under the MIT License", "", "s"), (12, "Not released under\nthe MIT License", "", "s")]
     got = {r.doc_id: (r.rules, r.n_sentences, r.first_sentence, r.last_sentence) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
-    assert {k: v[0] for k, v in got.items()} == {1: "mit-full", 2: "gpl3-header", 3: "bsd-3", **dict.fromkeys(range(4, 9), "apache-header"), 9: "mit-notice", 10: "mit-notice"}
-    assert got[9][1:] == got[10][1:] == (1, 1, 1) and got[4][1:] == (4, 1, 8)
+    assert {k: v[0] for k, v in got.items()} == {1: "mit-terms", 2: "gpl3-header", 3: "bsd-3", **dict.fromkeys(range(4, 9), "apache-header"), 9: "mit-notice", 10: "mit-notice"}
+    assert got[9][1:] == got[10][1:] == (1, 1, 1) and got[4][1:] == (5, 1, 8)
 
 
 def test_decontamination(spark):
@@ -379,10 +382,13 @@ def test_language_model_rare_words(spark):
 
 
 def test_language_model_trains_every_position():
-    data, offs = lmscore.raw_column(pa.array(["one", "one two", None, " ".join(map(str, range(77)))]))
-    words = lmscore.words_of(data, offs, 0, 4)
+    first = np.array([0, 1, 3, 3, 80])
     for rounds in (1, lmscore.ROUNDS, 5):
-        assert sorted(np.concatenate([lmscore.trained(words, turn, rounds) for turn in range(rounds)]).tolist()) == list(range(80))
+        assert sorted(np.concatenate([lmscore.trained(first, turn, rounds) for turn in range(rounds)]).tolist()) == list(range(80))
+    rows, tokens = np.repeat(np.arange(4), np.diff(first)), np.arange(80)
+    around = lmscore.contexts(tokens, rows, 999)
+    for i in range(80):
+        assert around[i].tolist() == [i + d if 0 <= i + d < 80 and rows[i + d] == rows[i] else 999 for d in (-3, -2, -1, 1, 2, 3)]
     # a step with words added up is the gradient step of each example
     rng, side, e = np.random.default_rng(1), 4, 1e-3
     net = lmscore.Network.fresh(side)
