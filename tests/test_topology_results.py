@@ -98,6 +98,9 @@ def test_publication(spark, tmp_path):
     assert pub.publish(heavier) == checked == pub.current().meta.model_version
     with pytest.raises(ModelError, match="refused"):
         Publisher(spark, pub.root, [lambda _: "refused"]).publish(m)
+    known = spark.createDataFrame([(1, 0.9, 3, "ROUTINE_PERIODIC", 5)], models.CALIBRATION)
+    calibrated = Model(m.nodes, m.edges, m.profiles, m.turns, Metadata(), known)
+    assert pub.publish(calibrated) != v1 and pub.current().calibration.first().confidence == pytest.approx(0.9)
     broken = Model(m.nodes, m.edges.withColumn("dest", F.lit(99)), m.profiles, m.turns, Metadata())
     with pytest.raises(ModelError, match="UNKNOWN_NODE"):
         pub.publish(broken)
@@ -109,6 +112,7 @@ def test_quarantine(spark):
     q = topology.last_failures(spark.createDataFrame([("node", 2, 50, 1, "flood", "a"), ("edge", 0, 10, 1, "old", "a"), ("edge", 1, 90, 2, "crash", "b"), ("edge", 7, 90, 2, "crash", "b")], topology.QUARANTINE))
     assert {r.edge_idx: r.valid_until for r in topology.failed_edges(q, m.edges, 20).collect()} == {1: 90, 2: 50}
     assert {r.edge_idx: r.valid_until for r in topology.failure_updates(q, m.edges, 20, F.lit(60)).collect()} == {1: 60, 2: 50}
+    assert topology.clear_failures(q).count() == 0 and topology.clear_failures(q).columns == q.columns
     one = topology.failure_summary(q, 20).first()
     assert one.n_active == 3 and list(one.tags) == ["a", "b", "crash", "flood"] and one.observed_at == 2
 

@@ -14,6 +14,12 @@ def _f(x: Column) -> Column:
     return x.cast("float")
 
 
+def posture(pattern: Column, confidence: Column) -> Column:
+    """How far a profile's recurring signal is to be trusted: by its pattern first, then by its confidence."""
+    by_confidence = F.when(confidence >= HIGH_CONFIDENCE, "HIGH_CONFIDENCE").when(confidence >= MEDIUM_CONFIDENCE, "MEDIUM_CONFIDENCE").otherwise("LOW_CONFIDENCE")
+    return F.when(pattern == "FULLY_PERSISTENT", "NO_RECURRING_SIGNAL").when(pattern == "WEAK_SIGNAL_PERIODIC", "WEAK_SIGNAL_REJECTED").otherwise(by_confidence)
+
+
 def profile_stats(profiles: DataFrame) -> DataFrame:
     """profiles with avg_multiplier (summed in double), min_multiplier and max_multiplier."""
     mean = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + b.cast("double")) / F.size("buckets")
@@ -40,5 +46,4 @@ def profile_patterns(profiles: DataFrame) -> DataFrame:
     periodic = F.col("pattern").isin("STRICT_PERIODIC", "MIXED_PERSISTENT_AND_PERIODIC")
     score = 0.45 * F.least(F.lit(1.0), F.col("weekly_range").cast("double") / STRONG_RANGE) + 0.25 * F.least(F.lit(1.0), F.col("active_days") / 7.0) + 0.30 * F.least(F.lit(1.0), F.col("support_windows") / 14.0)
     df = df.withColumn("confidence", _f(F.when(periodic, F.least(F.lit(1.0), score)).otherwise(F.lit(0.0))))
-    posture = F.when(F.col("pattern") == "FULLY_PERSISTENT", "NO_RECURRING_SIGNAL").when(F.col("pattern") == "WEAK_SIGNAL_PERIODIC", "WEAK_SIGNAL_REJECTED").when(F.col("confidence") >= HIGH_CONFIDENCE, "HIGH_CONFIDENCE").when(F.col("confidence") >= MEDIUM_CONFIDENCE, "MEDIUM_CONFIDENCE").otherwise("LOW_CONFIDENCE")
-    return df.withColumn("posture", posture).withColumn("flavor", F.when(periodic, "ROUTINE_PERIODIC").otherwise("NONE"))
+    return df.withColumn("posture", posture(F.col("pattern"), F.col("confidence"))).withColumn("flavor", F.when(periodic, "ROUTINE_PERIODIC").otherwise("NONE"))

@@ -102,14 +102,14 @@ def profile_signals(requests: DataFrame, model: Model, opts: CostOptions, c: Cal
 
 
 def calibrated(signals: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """Signals with confidence, observation_count, flavor and calibration_source: explicit rows by profile win over derived values."""
+    """Signals with confidence, observation_count, flavor, posture and calibration_source: explicit rows by profile win over derived values, and the posture is that of the confidence that counts."""
     derived = signals.withColumn("observation_count", F.col("support_windows"))
     if overrides is None:
-        return derived.withColumn("calibration_source", F.lit("DERIVED")).withColumn("last_observed_at", F.lit(None).cast("long"))
+        return derived.withColumn("calibration_source", F.lit("DERIVED")).withColumn("last_observed_at", F.lit(None).cast("long")).withColumn("posture", patternfn.posture(F.col("pattern"), F.col("confidence")))
     o = overrides.select("profile_id", F.col("confidence").alias("o_conf"), F.col("observation_count").alias("o_n"), F.col("flavor").alias("o_flavor"), "last_observed_at")
     rows = derived.join(o, "profile_id", "left")
     given = F.col("o_conf").isNotNull()
-    return rows.withColumns({"confidence": F.coalesce("o_conf", "confidence"), "observation_count": F.coalesce("o_n", "observation_count"), "flavor": F.coalesce("o_flavor", "flavor"), "calibration_source": F.when(given, "EXPLICIT").otherwise("DERIVED")}).drop("o_conf", "o_n", "o_flavor")
+    return rows.withColumns({"confidence": F.coalesce("o_conf", "confidence"), "observation_count": F.coalesce("o_n", "observation_count"), "flavor": F.coalesce("o_flavor", "flavor"), "calibration_source": F.when(given, "EXPLICIT").otherwise("DERIVED")}).drop("o_conf", "o_n", "o_flavor").withColumn("posture", patternfn.posture(F.col("pattern"), F.col("confidence")))
 
 
 def recurring_edges(requests: DataFrame, model: Model, opts: CostOptions, overrides: DataFrame | None = None, c: Calibration = DEFAULT) -> DataFrame:

@@ -101,6 +101,11 @@ def active_failures(quarantine: DataFrame, now: int) -> DataFrame:
     return quarantine.filter(F.col("valid_until") > now)
 
 
+def clear_failures(quarantine: DataFrame) -> DataFrame:
+    """The quarantine without any failure."""
+    return quarantine.limit(0)
+
+
 def failed_edges(quarantine: DataFrame, edges: DataFrame, now: int) -> DataFrame:
     """edge_idx, valid_until of edges out of use: failed themselves or at a failed node, until the last of these ends."""
     live = active_failures(quarantine, now)
@@ -136,7 +141,7 @@ def granularity_ok(bucket_seconds: int, ticks_per_second: int, drift_ticks: int)
 def version_of(model: Model) -> str:
     """A hash of all rows: equal content, equal version, whatever the order of rows."""
     total = []
-    for name in ("nodes", "edges", "profiles", "turns"):
+    for name in ("nodes", "edges", "profiles", "turns", *(["calibration"] if model.calibration is not None else [])):
         df = getattr(model, name)
         digest = F.conv(F.substring(F.md5(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})), 1, 15), 16, 10).cast("decimal(38,0)")
         total.append(df.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).cast("string"))).first()[0])

@@ -51,7 +51,7 @@ class Engine:
     def __post_init__(self):
         self.bound = self.bound or bind(self.model.meta)
         if self.bound.zone:
-            self.model = Model(self.model.nodes, self.model.edges, self.model.profiles, self.model.turns, Metadata(**{**vars(self.model.meta), "zone": self.bound.zone}))
+            self.model = replace(self.model, meta=Metadata(**{**vars(self.model.meta), "zone": self.bound.zone}))
 
     @property
     def options(self):
@@ -95,7 +95,7 @@ class Engine:
         return self.hooks.plan_matrix(self.matrix_requests(requests), self.model, self.overlay, self.options, strategy=strategy, **self._how())
 
     def scenarios(self, requests: DataFrame, quarantine: DataFrame | None = None, observed_at: int | None = None) -> tuple[DataFrame, DataFrame]:
-        return self.hooks.scenarios(requests, self.model, self.options, quarantine, observed_at)
+        return self.hooks.scenarios(requests, self.model, self.options, quarantine, observed_at, self.model.calibration)
 
     def _scenario_overlay(self, scenarios: DataFrame, updates: DataFrame, now: int) -> DataFrame:
         base = self.overlay if self.overlay is not None else updates.select(*live.SLOTS).limit(0)

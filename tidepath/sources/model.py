@@ -13,6 +13,8 @@ from ..functions import timefn
 NODES = "node_idx int, node_id string, x double, y double"
 EDGES = "edge_idx int, edge_id string, origin int, dest int, base_weight float, profile_id int"
 PROFILES = "profile_id int, day_mask int, buckets array<float>"
+CALIBRATION = "profile_id int, confidence float, observation_count int, flavor string, last_observed_at long"
+CALIBRATION_COLUMNS = ["profile_id", "confidence", "observation_count", "flavor", "last_observed_at"]
 TURNS = "from_edge int, to_edge int, penalty float"
 
 
@@ -54,11 +56,15 @@ class Model:
     profiles: DataFrame
     turns: DataFrame
     meta: Metadata = field(default_factory=Metadata)
+    #: What is known of profiles beyond their shape, if anything: profile_id, confidence, observation_count, flavor, last_observed_at.
+    calibration: DataFrame | None = None
 
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
         for name in ("nodes", "edges", "profiles", "turns"):
             getattr(self, name).write.parquet(f"{path}/{name}")
+        if self.calibration is not None:
+            self.calibration.select(*CALIBRATION_COLUMNS).write.parquet(f"{path}/calibration")
         spark.createDataFrame([tuple(vars(self.meta).values())], "schema_version int, model_version string, unit string, tick_ns long, zone string, bucket_seconds int").coalesce(1).write.parquet(f"{path}/meta")
 
     @staticmethod
@@ -66,7 +72,12 @@ class Model:
         meta = Metadata(**spark.read.parquet(f"{path}/meta").first().asDict()).check()
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
         edges = read("edges", EDGES).withColumns({"base_weight": F.coalesce("base_weight", F.lit(0).cast("float")), "profile_id": F.coalesce("profile_id", F.lit(0))})
-        return Model(read("nodes", NODES), edges, read("profiles", PROFILES), read("turns", TURNS), meta)
+        return Model(read("nodes", NODES), edges, read("profiles", PROFILES), read("turns", TURNS), meta, read("calibration", CALIBRATION) if _exists(spark, f"{path}/calibration") else None)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def _ahead(rows: DataFrame, order: list[str], value: Column) -> DataFrame:
