@@ -121,7 +121,8 @@ def _sign(k: int):
                 values, full = np.where(held[:, ::2], halves[:, ::2], halves[:, 1::2]), held[:, ::2] | held[:, 1::2]
                 densify(values, full)
                 keys = band_keys(values)
-                bits = (nibbles[:, ::2] << 4 | nibbles[:, 1::2]).view(np.int64)
+                # a plane for each of the four bits, 64 half bins to a word
+                bits = np.concatenate([np.packbits(nibbles >> k & 1, axis=1, bitorder="little").view(np.int64) for k in range(4)], axis=1)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(np.ascontiguousarray(bits)), lists(keys)], schema=_SIGNED)
 
@@ -153,19 +154,19 @@ def _similar(a: str, b: str, percent: int, slack: float | None) -> F.Column:
     sizes = least * 100 >= percent * F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
     if slack is None:
         return sizes
-    differ, seen = F.lit(0), F.lit(0)
-
-    def nonzero(x: F.Column) -> F.Column:
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-
-    for i in range(BINS // 8):
-        x, y = F.col(f"{a}.sketch")[i], F.col(f"{b}.sketch")[i]
-        differ, seen = differ + nonzero(x.bitwiseXOR(y)), seen + nonzero(x.bitwiseOR(y))
-    rate = 1 - percent / 100
+    words, rate = 2 * BINS // 64, 1 - percent / 100
+    excess = F.lit(0.0)
+    for i in range(words):
+        differ = seen = None
+        for k in range(4):
+            x, y = F.col(f"{a}.sketch")[k * words + i], F.col(f"{b}.sketch")[k * words + i]
+            differ = x.bitwiseXOR(y) if differ is None else differ.bitwiseOR(x.bitwiseXOR(y))
+            seen = x.bitwiseOR(y) if seen is None else seen.bitwiseOR(x).bitwiseOR(y)
+        excess = excess + F.bit_count(differ) - rate * F.bit_count(seen)
+    # the halves that a union of that size fills, and one more for small unions, in which they are few
     union = (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) / (1 + percent / 100)
-    spread = rate * (1 - rate) * seen * F.greatest(F.lit(0.0), 1 - seen / union)
-    return sizes & (differ <= rate * seen + slack * F.sqrt(spread) + 1e-6)
+    full = 2 * BINS * (1 - F.exp(-union / (2 * BINS)))
+    return sizes & (excess <= 1 + slack * F.sqrt(rate * (1 - rate) * full * F.greatest(F.lit(0.0), 1 - full / union)))
 
 
 def fetch_sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
